@@ -1,11 +1,14 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
 from tallyforge.llm import op01_ngram_join as op01
+from tallyforge.llm import op04_line_dedup as op04
 
 QUERIES = {
     "op1_ngram_jaccard_join": op01.op1_ngram_jaccard_join,
+    "op4_line_dedup": op04.op4_line_dedup,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": op01.SQL,
+    "op4_line_dedup": op04.SQL,
 }

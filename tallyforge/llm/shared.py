@@ -48,14 +48,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` by batch."""
-
-    def run(it):
-        for batch in it:
-            yield from f(batch)
-
-    return df.mapInArrow(run, schema)
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 CHUNK = 1 << 14
