@@ -1,11 +1,17 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
 from tallyforge.llm import op01_ngram_join as op01
+from tallyforge.llm import op02_mixing as op02
+from tallyforge.llm import op03_quality as op03
 from tallyforge.llm import op04_line_dedup as op04
+from tallyforge.llm import op10_decontaminate as op10
 
 QUERIES = {
     "op1_ngram_jaccard_join": op01.op1_ngram_jaccard_join,
+    "op2_source_mixing": op02.op2_source_mixing,
+    "op3_quality_classifier": op03.op3_quality_classifier,
     "op4_line_dedup": op04.op4_line_dedup,
+    "op10_benchmark_decontamination": op10.op10_benchmark_decontamination,
 }
 
 SQL = {
