@@ -46,6 +46,7 @@ def numbered_kmers(points: np.ndarray, k: int) -> np.ndarray:
         same = h[order]
         start = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
         number = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        order, number = order[number > 0], number[number > 0]  # a first occurrence keeps its hash, whatever follows
         h[order] = mix(h[order] + number.astype(U64) * U64(0xD6E8FEB86659FD93))
     return (h >> U64(32)).astype(U32)
 
