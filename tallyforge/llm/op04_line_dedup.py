@@ -7,16 +7,16 @@ is removed if any earlier line, in the order of (doc_id, line number), has a wor
    a signature takes part in the join, the others are removed.
 2. Tokens of a line are ordered by rarity, and the line is posted under its prefix, the ``n - ceil(percent * n / 100) +
    1`` rarest. Two lines that match share a prefix token.
-3. Postings are sorted by (token, doc_id, line) and streamed. A line meets the earlier lines of the token until it has
-   ``first_tries`` candidates that pass the length filter, the positional filter and a 128-bit bitmap bound, which never
-   rejects a match. So a line with thousands of near copies gives a few pairs, not thousands.
+3. Postings are packed by shards of tokens, so that a row of the shuffle holds thousands of them. In its shard a line
+   meets the earlier lines of a token, the earliest first, until it has ``first_tries`` candidates that pass the length
+   filter, the positional filter and a 128-bit bitmap bound, which never rejects a match. So a line with thousands of
+   near copies gives a few pairs, not thousands. A token that the count table calls frequent is split: its lines are
+   dealt to segments, and each pair of segments is a list of its own.
 4. Candidates are verified on full token sets. Lines that found none but had more candidates try all of them.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textkit as tk
-from tallyforge.llm.shared import CHUNK, Scratch, bloom, fresh, in_bloom, mix_keys
+from tallyforge.llm.shared import CHUNK, Scratch, bloom, bloom_hashes, fresh, in_bloom, mix_keys
 
 U64 = np.uint64
 
@@ -61,18 +61,17 @@ def _first_pass(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
     """Rows of two kinds: chunks of word counts; and doc_id, line, signature of each line of enough distinct words."""
 
     def run(it):
-        table = np.zeros(buckets, np.int64)
+        table = np.zeros(buckets, np.uint32)
         for batch in it:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in tk.batches(batch, "text"):
                 w = tk.words(data, offsets)
                 if not len(w.hash):
                     continue
-                table += np.bincount((w.hash & U64(buckets - 1)).astype(np.int64), minlength=buckets)
+                np.add.at(table, (w.hash & U64(buckets - 1)).astype(np.int64), np.uint32(1))
                 key, text, before = _lines(w)
                 at = _starts(key)
-                mixed = tk.mix(w.hash)
-                sig = tk.mix(np.add.reduceat(mixed, at)) + np.add.reduceat(tk.mix(mixed), at)
+                sig = np.add.reduceat(w.hash, at) ^ tk.mix(np.bitwise_xor.reduceat(w.hash * U64(0xD6E8FEB86659FD93), at))
                 enough = _distinct_counts(key, w.hash, at, min_words)
                 at, sig = at[enough], sig[enough]
                 number = _line_numbers(w, offsets, text[at], before[at])
@@ -81,7 +80,7 @@ def _first_pass(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
                     [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids[i:j][text[at]]), pa.array(number, pa.int32()), pa.array(sig.view(np.int64))],
                     ["chunk", "counts", "doc_id", "line", "sig"],
                 )
-        parts = np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, CHUNK)
+        parts = table.reshape(-1, CHUNK)
         if table.any():
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
@@ -121,142 +120,152 @@ def _token_order(key: np.ndarray, rare: np.ndarray, h: np.ndarray) -> np.ndarray
     return np.lexsort((h, rare, key))
 
 
-def _token_sets(w: tk.Words, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct tokens by line, rarest first: (hash, line start positions, sizes, text, newlines before)."""
+def _token_sets(w: tk.Words, table: np.ndarray, want=None) -> tuple[np.ndarray, ...]:
+    """Distinct tokens by line, rarest first: (hash, line start positions, sizes, text, newlines before), of all lines
+    that have words or of those for which ``want(hashes, line starts, text, newlines before)`` is true."""
     key, text, before = _lines(w)
-    order = _token_order(key, table[(w.hash & U64(len(table) - 1)).astype(np.int64)], w.hash)
-    h, k = w.hash[order], key[order]
+    h, first = w.hash, _starts(key)
+    if want is not None:
+        keep = want(h, first, text[first], before[first])
+        if not keep.any():
+            return h[:0], first[:0], first[:0], text[:0], before[:0]
+        words_ = np.repeat(keep, np.diff(np.append(first, len(h))))
+        h, key, text, before = h[words_], key[words_], text[words_], before[words_]
+        first = _starts(key)
+    order = _token_order(key, table[(h & U64(len(table) - 1)).astype(np.int64)], h)
+    h, k = h[order], key[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-    first = _starts(key)
     h, k = h[new], k[new]
     at = _starts(k)
     return h, at, np.diff(np.append(at, len(h))), text[first], before[first]
 
 
-def _postings(docs: DataFrame, counts, copies, percent: int, min_words: int) -> DataFrame:
-    """A row for each prefix token of each line; ``copy`` tells that the line may be a later copy of a line."""
+_FIELDS = (("token", np.uint64), ("doc_id", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("x1", np.uint64), ("x2", np.uint64))
+
+
+def _segments(posted: dict[str, np.ndarray], table: np.ndarray, hot: int) -> dict[str, np.ndarray]:
+    """Postings of tokens that occur over ``hot`` times once for each pair of segments that their line is in."""
+    count = table[(posted["token"] & U64(len(table) - 1)).astype(np.int64)]
+    parts = -(-count.astype(np.int64) // hot)
+    split = np.flatnonzero(parts > 1)
+    if not len(split):
+        return posted
+    k = parts[split]
+    mine = (mix_keys(posted["doc_id"][split], posted["line"][split]) % k.astype(U64)).astype(np.int64)
+    row = np.repeat(np.arange(len(split)), k)
+    other = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(k)))[:-1], k)
+    keep = other != mine[row]
+    row, other = row[keep], other[keep]
+    low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
+    more = {c: posted[c][split[row]] for c, _ in _FIELDS}
+    more["token"] = mix_keys(more["token"].view(np.int64), low, high)
+    rest = parts <= 1
+    return {c: np.concatenate((posted[c][rest], more[c])) for c, _ in _FIELDS}
+
+
+def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words: int, shards: int, hot: int, only=None) -> DataFrame:
+    """Packed postings of each line's prefix: shard, and the bytes of one array for each of ``_FIELDS``.
+
+    Later copies of lines (the Bloom filter ``copies``) are left out, but for lines in ``spared``, which are those that
+    ``copies`` names wrongly. ``only``: a Bloom filter of tokens to which postings are limited.
+    """
 
     def run(it):
         table = counts.value
         for batch in it:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            found = []
             for i, j, data, offsets in tk.batches(batch, "text"):
                 w = tk.words(data, offsets)
                 if not len(w.hash):
                     continue
-                h, at, n, text, before = _token_sets(w, table)
-                number = _line_numbers(w, offsets, text, before)
-                doc = ids[i:j][text]
+
+                def want(h, at, text, before, ids=ids[i:j], w=w, offsets=offsets):
+                    doc, number = ids[text], _line_numbers(w, offsets, text, before)
+                    keys = mix_keys(doc, number)
+                    keep = ~in_bloom(copies.value, keys) | in_bloom(spared.value, keys)
+                    return keep if only is None else keep & np.logical_or.reduceat(in_bloom(only.value, h), at)
+
+                h, at, n, text, before = _token_sets(w, table, want)
+                if not len(h):
+                    continue
                 bit = U64(1) << (h & U64(63))
                 high = (h >> U64(6)) & U64(1) == 1
                 x1 = np.bitwise_xor.reduceat(np.where(high, bit, U64(0)), at)
                 x2 = np.bitwise_xor.reduceat(np.where(high, U64(0), bit), at)
-                copy = in_bloom(copies.value, mix_keys(doc, number))
                 size = np.where(n >= min_words, n - -(-percent * n // 100) + 1, 0)
                 pos = np.arange(len(h)) - np.repeat(at, n)
-                take = pos < np.repeat(size, n)
-                rep = lambda a: np.repeat(a, n)[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[take].view(np.int64)), pa.array(rep(doc)), pa.array(rep(number), pa.int32()), pa.array(rep(n), pa.int32()), pa.array(pos[take], pa.int32()), pa.array(rep(x1).view(np.int64)), pa.array(rep(x2).view(np.int64)), pa.array(rep(copy))],
-                    ["token", "doc_id", "line", "n", "pos", "x1", "x2", "copy"],
-                )
-
-    return docs.mapInArrow(run, "token long, doc_id long, line int, n int, pos int, x1 long, x2 long, copy boolean")
-
-
-_COLUMNS = ("token", "doc_id", "line", "n", "pos", "x1", "x2")
-_HELD = 400_000
-
-
-def _passes(u: dict, i: np.ndarray, v: dict, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (u[i], v[j]) may reach the threshold."""
-    n, m = u["n"][i].astype(np.int64), v["n"][j].astype(np.int64)
+                take = np.flatnonzero(pos < np.repeat(size, n))
+                if only is not None:
+                    take = take[in_bloom(only.value, h[take])]
+                of = np.repeat(np.arange(len(at)), n)[take]
+                number = _line_numbers(w, offsets, text, before)
+                found.append({"token": h[take], "doc_id": ids[i:j][text][of], "line": number[of], "n": n[of], "pos": pos[take], "x1": x1[of], "x2": x2[of]})
+            if not found:
+                continue
+            posted = {c: np.concatenate([f[c] for f in found]).astype(t, copy=False) for c, t in _FIELDS}
+            posted = _segments(posted, table, hot)
+            shard = (tk.mix(posted["token"]) % U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            at = _starts(shard[order])
+            ends = np.append(at, len(order)).tolist()
+            columns = [pa.array(shard[order][at])]
+            for c, _ in _FIELDS:
+                values = posted[c][order]
+                columns.append(pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["shard", *(c for c, _ in _FIELDS)])
+
+    return docs.mapInArrow(run, "shard long, " + ", ".join(f"{c} binary" for c, _ in _FIELDS))
+
+
+def _passes(u: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of postings (i, j) may reach the threshold."""
+    n, m = u["n"][i].astype(np.int64), u["n"][j].astype(np.int64)
+    ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
     least = -(-percent * (n + m) // (100 + percent))
-    apart = np.bitwise_count((u["x1"][i] ^ v["x1"][j]).view(U64)).astype(np.int64) + np.bitwise_count((u["x2"][i] ^ v["x2"][j]).view(U64))
-    reach = np.minimum(1 + np.minimum(n - u["pos"][i] - 1, m - v["pos"][j] - 1), (n + m - apart) // 2)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (reach >= least)
+    ok &= 1 + np.minimum(n - u["pos"][i], m - u["pos"][j]) - 1 >= least
+    apart = np.bitwise_count(u["x1"][i] ^ u["x1"][j]).astype(np.int64) + np.bitwise_count(u["x2"][i] ^ u["x2"][j])
+    return ok & ((n + m - apart) // 2 >= least)
 
 
 def _candidates(percent: int, tries: int, asked=None):
-    """Streams sorted postings; yields for each line its first ``tries`` possible matches by token among earlier lines,
-    and whether there were more. A token's list beyond ``_HELD`` rows is kept in temporary files."""
-
-    def emit(u, i, v, j, more):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (u["doc_id"][i], u["line"][i], v["doc_id"][j], v["line"][j], more)], ["doc_id", "line", "to_doc", "to_line", "more"]
-        )
-
-    def meet(u, got, lo, hi, v):
-        """Rows i of u meet rows lo[i]..hi[i] of v, the earliest first."""
-        found_i, found_j = [], []
-        active, step = np.flatnonzero((lo < hi) & (got <= tries)), 0
-        while len(active):
-            j = lo[active] + step
-            ok = _passes(u, active, v, j, percent)
-            got[active[ok]] += 1
-            keep = ok & (got[active] <= tries)
-            found_i.append(active[keep])
-            found_j.append(j[keep])
-            step += 1
-            active = active[(j + 1 < hi[active]) & (got[active] <= tries)]
-        return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64),) * 2
+    """For a shard: each line's first ``tries`` possible matches by token among earlier lines, and whether there were
+    more. ``asked``: a Bloom filter of the lines that ask."""
 
-    def groups(u, earlier):
-        """Candidates in whole lists (all earlier rows are in u), or in one long list with ``earlier`` files."""
+    def run(key, table):
+        u = {c: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in _FIELDS}
+        order = np.lexsort((u["line"], u["doc_id"], u["token"]))
+        u = {c: v[order] for c, v in u.items()}
         first = _starts(u["token"])
-        lo = np.repeat(first, np.diff(np.append(first, len(u["token"]))))
-        got = np.zeros(len(lo), np.int64)
+        count = np.diff(np.append(first, len(order)))
+        several = np.repeat(count > 1, count)
+        first = np.repeat(first, count)
+        got = np.zeros(len(order), np.int64)
+        active = np.flatnonzero(several & (first < np.arange(len(order))))
         if asked is not None:
-            got[~in_bloom(asked.value, mix_keys(u["doc_id"], u["line"]))] = tries + 1
-        skip = got > tries
-        out = []
-        for path in earlier:
-            with np.load(path) as v:
-                v = {c: v[c] for c in _COLUMNS}
-            i, j = meet(u, got, np.zeros_like(lo), np.full_like(lo, len(v["n"])), v)
-            out.append((i, v, j))
-        i, j = meet(u, got, lo, np.arange(len(lo)), u)
-        out.append((i, u, j))
-        for i, v, j in out:
-            if len(i):
-                yield emit(u, i, v, j, (got > tries)[i] & ~skip[i])
-
-    def run(it):
-        held, earlier, token = None, [], None
-        with tempfile.TemporaryDirectory() as folder:
-            for batch in it:
-                if not batch.num_rows:
-                    continue
-                now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _COLUMNS}
-                if held is not None:
-                    now = {c: np.concatenate((held[c], now[c])) for c in _COLUMNS}
-                last = int(np.searchsorted(now["token"], now["token"][-1]))
-                if earlier and now["token"][0] != token:
-                    for path in earlier:
-                        os.unlink(path)
-                    earlier = []
-                if last:
-                    yield from groups({c: now[c][:last] for c in _COLUMNS}, earlier)
-                    for path in earlier:
-                        os.unlink(path)
-                    earlier = []
-                held = {c: now[c][last:] for c in _COLUMNS}
-                if len(held["token"]) >= _HELD:
-                    yield from groups(held, earlier)
-                    earlier.append(f"{folder}/{len(earlier)}.npz")
-                    np.savez(earlier[-1], **held)
-                    token, held = held["token"][0], None
-            if held is not None:
-                if earlier and held["token"][0] != token:
-                    earlier = []
-                yield from groups(held, earlier)
+            active = active[in_bloom(asked.value, mix_keys(u["doc_id"][active], u["line"][active]))]
+        found_i, found_j, step = [active[:0]], [active[:0]], 0
+        while len(active):
+            j = first[active] + step
+            ok = _passes(u, active, j, percent)
+            hit = active[ok]
+            got[hit] += 1
+            keep = got[hit] <= tries
+            found_i.append(hit[keep])
+            found_j.append(j[ok][keep])
+            step += 1
+            active = active[(j + 1 < active) & (got[active] <= tries)]
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        out = pa.table({"doc_id": u["doc_id"][i], "line": u["line"][i], "to_doc": u["doc_id"][j], "to_line": u["line"][j], "more": got[i] > tries})
+        #: The same pair meets at each token that both prefixes have.
+        return out.group_by(["doc_id", "line", "to_doc", "to_line"]).aggregate([("more", "max")]).rename_columns(["doc_id", "line", "to_doc", "to_line", "more"])
 
     return run
 
 
 def _token_arrays(docs: DataFrame, table, wanted_docs, wanted_lines) -> DataFrame:
-    """doc_id, line, tokens of the lines that may be in the Bloom filters."""
+    """doc_id, line, tokens (rarest first) of the lines that may be in the Bloom filters."""
 
     def run(it):
         for batch in it:
@@ -269,55 +278,73 @@ def _token_arrays(docs: DataFrame, table, wanted_docs, wanted_lines) -> DataFram
                 w = tk.words(data, offsets)
                 if not len(w.hash):
                     continue
-                h, at, n, text, before = _token_sets(w, table.value)
-                number = _line_numbers(w, offsets, text, before)
-                doc = ids[i:j][text]
-                hit = in_bloom(wanted_lines.value, mix_keys(doc, number))
-                if hit.any():
-                    ends = np.concatenate(([0], np.cumsum(n[hit]))).astype(np.int32)
-                    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[np.repeat(hit, n)].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number[hit], pa.int32()), tokens], ["doc_id", "line", "tokens"])
+
+                def want(h, at, text, before, ids=ids[i:j], w=w, offsets=offsets):
+                    return in_bloom(wanted_lines.value, mix_keys(ids[text], _line_numbers(w, offsets, text, before)))
+
+                h, at, n, text, before = _token_sets(w, table.value, want)
+                if len(h):
+                    ends = np.append(at, len(h)).astype(np.int32)
+                    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text]), pa.array(_line_numbers(w, offsets, text, before), pa.int32()), tokens], ["doc_id", "line", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, line int, tokens array<long>")
 
 
-def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier match; ``docs`` has unique doc_ids. See the module."""
+def _wrongly_named(lines: DataFrame, copies, later: DataFrame) -> DataFrame:
+    """Lines that the Bloom filter ``copies`` names though they aren't in ``later``."""
+
+    def run(it):
+        for batch in it:
+            keys = mix_keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line")))
+            batch = batch.filter(pa.array(in_bloom(copies.value, keys)))
+            if batch.num_rows:
+                yield batch
+
+    return lines.select("doc_id", "line").mapInArrow(run, "doc_id long, line int").join(later, ["doc_id", "line"], "left_anti")
+
+
+def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18) -> DataFrame:
+    """(doc_id, line) of every line that has an earlier match; null doc_ids aren't allowed. See the module."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     send = spark.sparkContext.broadcast
     docs = docs.select("doc_id", "text")
     first = scratch.keep(_first_pass(docs, buckets, min_words), "first")
-    counts = send(_table(first.where("chunk is not null").select("chunk", "counts"), buckets))
+    table = _table(first.where("chunk is not null").select("chunk", "counts"), buckets)
+    counts = send(table)
+    #: About 200,000 postings a shard: prefixes are (100 - percent) percent of all words and one a line.
+    shards = max(16, int(table.sum(dtype=np.int64)) * (110 - percent) // 100 // 200_000)
     lines = first.where("chunk is null").select("sig", "doc_id", "line")
     lowest = lines.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("m")).where("c > 1")
     later = lines.join(lowest, "sig").where("doc_id > m.doc_id or doc_id = m.doc_id and line > m.line").select("doc_id", "line")
     later = scratch.keep(later, "later")
-    posted = _postings(docs, counts, send(bloom(later, ["doc_id", "line"])), percent, min_words)
-    #: A later copy is dropped from the postings. The Bloom filter may name others too: those are checked by a join.
-    posted = scratch.keep(posted, "posted")
-    maybe = posted.where("copy").join(later, ["doc_id", "line"], "left_anti").select(*_COLUMNS)
-    sorted_ = posted.where("not copy").select(*_COLUMNS).union(maybe).repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    copies = send(bloom(later, ["doc_id", "line"]))
+    spared = send(bloom(_wrongly_named(lines, copies, later), ["doc_id", "line"], 1 << 22))
     schema = "doc_id long, line int, to_doc long, to_line int, more boolean"
-    pairs = scratch.keep(sorted_.mapInArrow(_candidates(percent, first_tries), schema), "pairs-1")
 
-    def verified(pairs: DataFrame, k: int) -> DataFrame:
+    def candidates(name: str, tries: int, only=None, asked=None) -> DataFrame:
+        posted = _postings(docs, counts, copies, spared, percent, min_words, shards, hot, only)
+        return scratch.keep(posted.groupBy("shard").applyInArrow(_candidates(percent, tries, asked), schema), name)
+
+    def verified(pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         links = pairs.select("doc_id", "line", "to_doc", "to_line").distinct()
         ends = pairs.select("doc_id", "line").union(pairs.select("to_doc", "to_line"))
         arrays = scratch.keep(_token_arrays(docs, counts, send(bloom(ends, ["doc_id"])), send(bloom(ends, ["doc_id", "line"]))), f"arrays-{k}")
         other = arrays.toDF("to_doc", "to_line", "other")
         both = links.join(arrays, ["doc_id", "line"]).join(other, ["to_doc", "to_line"])
         same = both.withColumn("o", F.size(F.array_intersect("tokens", "other"))).where(f"100 * o >= {percent} * (size(tokens) + size(other) - o)")
-        return scratch.keep(same.select("doc_id", "line").distinct(), f"same-{k}")
+        return scratch.keep(same.select("doc_id", "line").distinct(), f"same-{k}"), arrays
 
-    same = verified(pairs, 1)
+    pairs = candidates("pairs-1", first_tries)
+    same, arrays = verified(pairs, 1)
     left = scratch.keep(pairs.where("more").select("doc_id", "line").distinct().join(same, ["doc_id", "line"], "left_anti"), "left")
     if left.take(1):
-        asked = send(bloom(left, ["doc_id", "line"]))
-        rest = sorted_.mapInArrow(_candidates(percent, 1 << 60, asked), schema)
-        same = same.union(verified(scratch.keep(rest.join(left, ["doc_id", "line"], "left_semi"), "pairs-2"), 2))
+        prefix = arrays.join(left, ["doc_id", "line"], "left_semi").select(F.explode(F.expr(f"slice(tokens, 1, cast(size(tokens) - ceil({percent} * size(tokens) / 100) + 1 as int))")).alias("token"))
+        rest = candidates("pairs-2", 1 << 60, send(bloom_hashes(prefix, "token")), send(bloom(left, ["doc_id", "line"])))
+        same = same.union(verified(rest, 2)[0])
     out = scratch.keep(later.union(same).distinct(), "gone")
-    scratch.drop("first", "later", "posted", "pairs-1", "pairs-2", "arrays-1", "arrays-2", "same-1", "same-2", "left")
+    scratch.drop("first", "later", "pairs-1", "pairs-2", "arrays-1", "arrays-2", "same-1", "same-2", "left")
     return out
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCAL_FOLDER = "file:///tmp/checkpoints"
@@ -66,11 +66,11 @@ def bucket_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     """
 
     def count(it):
-        table = np.zeros(buckets, np.int64)
+        table = np.zeros(buckets, np.uint32)
         for batch in it:
             for h in hashes(batch):
-                table += np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-        parts = np.minimum(table, np.iinfo(np.uint32).max).astype(np.uint32).reshape(-1, CHUNK)
+                np.add.at(table, (h & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
+        parts = table.reshape(-1, CHUNK)
         if table.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["chunk", "counts"])
 
@@ -99,7 +99,12 @@ def mix_keys(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def bloom(df: DataFrame, columns: list[str], bits: int = 1 << 25) -> np.ndarray:
+def bloom_hashes(df: DataFrame, column: str, bits: int = 1 << 25) -> np.ndarray:
+    """A Bloom filter of a column that holds 64-bit hashes already."""
+    return bloom(df, [column], bits, lambda c: c.view(np.uint64))
+
+
+def bloom(df: DataFrame, columns: list[str], bits: int = 1 << 25, keys: Callable[..., np.ndarray] = mix_keys) -> np.ndarray:
     """A Bloom filter (two probes, ``bits / 8`` bytes) of the keys in ``columns``, gathered in compressed chunks.
 
     It never misses a key. Beyond about ``bits / 10`` keys it lets more and more others pass, which costs time alone:
@@ -110,7 +115,7 @@ def bloom(df: DataFrame, columns: list[str], bits: int = 1 << 25) -> np.ndarray:
     def fill(it):
         table = np.zeros(bits // 8, np.uint8)
         for batch in it:
-            for probe in probes(mix_keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)), bits):
+            for probe in probes(keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)), bits):
                 np.bitwise_or.at(table, probe >> 3, (1 << (probe & 7)).astype(np.uint8))
         for chunk, part in enumerate(table.reshape(size, CHUNK)):
             if part.any():
@@ -145,23 +150,20 @@ def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of undirected ``edges`` (a, b); a component is named by its smallest node.
 
-    Alternating large-star and small-star (Kiveris et al., 2014): each is an aggregate and a join, so no group is ever
-    gathered; a round is written, and the loop ends when the edges are stars already.
+    Alternating large-star and small-star (Kiveris et al., 2014), a round of three shuffles each; rounds are written,
+    and the loop ends when all edges are stars. A star's rows pass one sorted window, which spills and gathers nothing.
     """
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    state = None
-    for k in range(1, rounds + 1):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = scratch.keep(small, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
-        row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.countDistinct("a").alias("d"), F.sum("b").alias("s")).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
-    else:
-        raise RuntimeError(f"{name}: components need more than {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = lambda: F.min("b").over(Window.partitionBy("a"))
+    for k in range(rounds):
+        now = scratch.keep(now, f"{name}-{k}")
+        if k:
+            scratch.drop(f"{name}-{k - 1}")
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("low")).union(now.select(F.col("b").alias("v"), F.lit(0).alias("low")))
+        ends = ends.groupBy("v").agg(F.sum("low").alias("n"), F.count("*").alias("c"))
+        if not ends.where("n > 1 or n = 1 and c > 1").take(1):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        large = now.union(now.select("b", "a")).withColumn("m", F.least(least(), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", least())
+        now = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
+    raise RuntimeError(f"{name}: components need more than {rounds} rounds")

@@ -18,8 +18,6 @@ import pyarrow as pa
 U64 = np.uint64
 BLOCK = 1 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2, _M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)
@@ -106,7 +104,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     start = np.flatnonzero(before & ~gap)
     end = np.flatnonzero(after & ~gap) + 1
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODE[data] * power[:n], out=sums[1:])
+    np.cumsum(np.multiply(data, power[:n], dtype=U64), out=sums[1:])
     out = Words(data, start, end, np.zeros(0, U64), np.searchsorted(start, offsets), sums)
     out.hash = out.hash_of(start, end)
     return out
