@@ -67,7 +67,7 @@ def features(batch: pa.RecordBatch):
         yield i, j, out
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: int = 12, batch: int = 128, rate: float = 0.15, shrink: float = 2e-4, least: int = 3, seed: int = 7) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: int = 25, batch: int = 128, rate: float = 0.15, shrink: float = 3e-3, least: int = 3, seed: int = 7) -> OrdinalModel:
     """Minimise the mean negative log-likelihood with AdaGrad and a truncated L1 penalty. ``rows`` are feature sets;
     features of fewer than ``least`` rows are left out. ``top`` is the highest grade."""
     seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=1 << BITS)
