@@ -223,6 +223,7 @@ def _passes(u: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of postings (i, j) may reach the threshold."""
     n, m = u["n"][i].astype(np.int64), u["n"][j].astype(np.int64)
     ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    ok &= (u["doc_id"][i] != u["doc_id"][j]) | (u["line"][i] != u["line"][j])  # a repeated row isn't earlier than itself
     least = -(-percent * (n + m) // (100 + percent))
     ok &= 1 + np.minimum(n - u["pos"][i], m - u["pos"][j]) - 1 >= least
     apart = np.bitwise_count(u["x1"][i] ^ u["x1"][j]).astype(np.int64) + np.bitwise_count(u["x2"][i] ^ u["x2"][j])
