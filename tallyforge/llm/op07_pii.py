@@ -3,7 +3,8 @@
 Base spans come from four exact patterns. Tokens with a digit or an at sign are the field's variables: a token's shape,
 its neighbour in the text (chain) and the last token of the same or a similar form anywhere before (skip) each have a
 factor. The factors are tables trained piecewise, by counting, on at most about ``sample`` documents whose labels are
-their base spans. Tokens in base spans are observed. Loopy sum-product passes beliefs to the others, and a token takes
+their base spans; a token that repeats one of a base span outside of any is left out there. Tokens in base spans are
+observed. Loopy sum-product passes beliefs to the others, and a token takes
 a label if its belief says so and one of its skip neighbours carries it; such tokens, joined where they are neighbours,
 are the added spans. A text without such a token needs no inference.
 """
@@ -109,6 +110,14 @@ class Tokens:
                     self.skip.append((last[key], i))
                 last[key] = i
 
+    def known(self) -> np.ndarray:
+        """Which labels teach something: a token without a base span that repeats one with a span is neither."""
+        held = self.label > 0
+        for edges in (self.skip, reversed(self.skip)):
+            for i, j in edges:
+                held[i] = held[j] = held[i] or held[j]
+        return (self.label > 0) | ~held
+
 
 def _shape(core: str, digits: int) -> int:
     size = sum(digits >= n for n in (1, 4, 7, 10, 14, 20))
@@ -127,11 +136,13 @@ def _counts(texts) -> np.ndarray:
         if not text or not _ANY.search(text):
             continue
         t = Tokens(text, base_spans(text))
-        np.add.at(out, np.array(t.shape, np.int64) * LABELS + t.label, 1)
+        known = t.known()
+        np.add.at(out, (np.array(t.shape, np.int64) * LABELS + t.label)[known], 1)
         for at, edges in ((_SIZES[0], t.chain), (_SIZES[0] + _SIZES[1], t.skip)):
             for i, j in edges:
-                a, b = sorted((t.label[i], t.label[j]))
-                out[at + a * LABELS + b] += 1
+                if known[i] and known[j]:
+                    a, b = sorted((t.label[i], t.label[j]))
+                    out[at + a * LABELS + b] += 1
     return out
 
 
