@@ -1,8 +1,8 @@
 """All queries of the engine, by name."""
 
-from tallyforge.plans import cube_queries, identity_queries
+from tallyforge.plans import cube_queries, etl_queries, identity_queries
 from tallyforge.plans.catalog import QUERIES, SQL
 
-MODULES = (cube_queries, identity_queries)
+MODULES = (cube_queries, etl_queries, identity_queries)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
