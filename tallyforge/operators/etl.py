@@ -9,10 +9,10 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import num, num_or_zero
+from tallyforge.functions.numbers import num_or_zero
 from tallyforge.functions.weights import dayfirst_date
 from tallyforge.operators.cube import sales_quantile
-from tallyforge.schema import CANON, SALES, first_of, need, q
+from tallyforge.schema import CANON, SALES, need, q
 
 # Month labels, service columns, and the names that merged files change.
 MONTHS = ("янв.", "фев.", "мар.", "апр.", "май", "июн.", "июл.", "авг.", "сен.", "окт.", "ноя.", "дек.")
@@ -169,6 +169,3 @@ def flattened(c: Column, kind: str) -> Column:
         return F.coalesce(F.element_at(c, "name"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; "))
     return F.array_join(c, ", ")
 
-
-__all__ = [x for x in dir() if not x.startswith("_")]
-assert num and first_of

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,6 @@ def title_pairs(records: DataFrame, most_in_block: int = 80) -> DataFrame:
 def title_similarity(a: Column, b: Column) -> Column:
     """The larger of the tokens' Jaccard and of a blend of containment and character similarity, to six places. The
     character part is the longest-common-blocks ratio, in an Arrow UDF."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -151,35 +151,43 @@ def apply(df: DataFrame, rules: Sequence[Rule], category: str = "Категор
         if t not in df.columns:
             df = df.withColumn(t, F.lit(None).cast("string"))
     columns = df.columns
-    pending: dict[str, Column] = {}
-    marks: list[Column] = []
-    folded = 0
+    #: By target, what is folded since the last projection: first rules that fill, then rules that overwrite.
+    fills: dict[str, list[tuple[Column, Rule]]] = {}
+    overs: dict[str, list[tuple[Column, Rule]]] = {}
 
-    def cut(df: DataFrame) -> DataFrame:
-        nonlocal folded
-        if report and marks:
-            old = F.col("_applied") if "_applied" in df.columns else F.array().cast("array<int>")
-            pending["_applied"] = F.concat(old, F.array_compact(F.array(*marks)))
-        df = df.withColumns(pending) if pending else df
-        pending.clear()
-        marks.clear()
-        folded = 0
-        return df
+    def chain(pairs: Sequence[tuple[Column, Column]], rest: Column) -> Column:
+        out = None
+        for mask, value in pairs:
+            out = F.when(mask, value) if out is None else out.when(mask, value)
+        return rest if out is None else out.otherwise(rest)
 
+    def cut(df: DataFrame) -> DataFrame:
+        new, marks = {}, []
+        for t in dict.fromkeys([*fills, *overs]):
+            now = F.col(q(t)).cast("string")
+            first, last = fills.get(t, []), overs.get(t, [])
+            filled = F.when(is_empty(now), chain([(m, F.lit(r.value)) for m, r in first], now)).otherwise(now) if first else now
+            new[t] = chain([(m, F.lit(r.value)) for m, r in reversed(last)], filled)
+            if report:
+                marks += [F.when(is_empty(now), chain([(m, F.lit(r.number)) for m, r in first], F.lit(None).cast("int")))] if first else []
+                marks += [F.when(m, F.lit(r.number)) for m, r in last]
+        if marks:
+            new["_applied"] = F.concat(F.col("_applied"), F.array_compact(F.array(*marks)))
+        fills.clear()
+        overs.clear()
+        return df.withColumns(new) if new else df
+
+    if report:
+        df = df.withColumn("_applied", F.array().cast("array<int>"))
     for rule in rules:
-        if rule.reads(category) & set(pending) or folded >= MOST_FOLDED:
+        fills_only = rule.mode == "fill_empty" or rule.otherwise
+        written = set(fills) | set(overs)
+        if rule.reads(category) & written or fills_only and rule.target in overs or sum(map(len, (*fills.values(), *overs.values()))) >= MOST_FOLDED:
             df = cut(df)
-        now = pending.get(rule.target, F.col(q(rule.target)).cast("string"))
-        mask = _mask(rule, columns, category)
-        if rule.mode == "fill_empty" or rule.otherwise:
-            mask = mask & is_empty(now)
-        pending[rule.target] = F.when(mask, F.lit(rule.value)).otherwise(now)
-        if report:
-            marks.append(F.when(mask, F.lit(rule.number)))
-        folded += 1
+        if fills_only and not rule.value.strip():
+            continue  # it would leave the cell empty
+        (fills if fills_only else overs).setdefault(rule.target, []).append((_mask(rule, columns, category), rule))
     df = cut(df)
-    if report and "_applied" not in df.columns:
-        df = df.withColumn("_applied", F.array().cast("array<int>"))
     for t, value in (fill or {}).items():
         if t in df.columns:
             df = df.withColumn(t, F.when(is_empty(F.col(q(t))), F.lit(value)).otherwise(F.col(q(t))))

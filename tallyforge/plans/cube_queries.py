@@ -117,9 +117,7 @@ def _(spark, d):
 def _(spark, d):
     from tallyforge.operators.identity import category_groups
 
-    groups = {x: (x.split(" ")[0], x) for x in ("ECONOMY BRASS", "STANDARD TIN")}
     x = _registry(spark, d).withColumn("grp", F.substring_index("category_name", " ", 1))
-    del groups
     return category_groups(x, "grp")
 
 

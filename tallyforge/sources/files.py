@@ -72,7 +72,12 @@ def read_text_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str
     names = _header(head_of(spark, path), encoding, sep)
     schema = StructType([StructField(n, StringType()) for n in names])
     reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-    return reader.option("encoding", {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1251": "windows-1251"}[encoding]).csv(path)
+    if encoding != "cp1251":
+        return reader.option("encoding", "UTF-8").csv(path)
+    #: Spark reads no cp1251: bytes are read as Latin-1, one character each, and its upper half is mapped.
+    high = bytes(range(128, 256))
+    df = reader.option("encoding", "ISO-8859-1").csv(path)
+    return df.select(*(F.translate(F.col(q(n)), high.decode("latin-1"), high.decode("cp1251", "replace")).alias(n) for n in names))
 
 
 def read_any_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -130,10 +135,8 @@ def catalog_tasks(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     """One CSV file with a byte order mark, in the order of ``df``; values pass through one task, as one file needs."""
-    spark = df.sparkSession
     names = [f"﻿{c}" if k == 0 else c for k, c in enumerate(df.columns)]
     df.toDF(*names).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
-    assert spark
 
 
 def write_by_category(df: DataFrame, path: str, column: str = "__category_key") -> None:
