@@ -204,3 +204,22 @@ def test_entry_and_registry(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 150
     assert entry.entry(spark).columns[0] == "period"
+
+
+def test_filter_language():
+    from tallyforge.operators.records import filter_model
+
+    assert filter_model(" ") is None
+    assert filter_model("'a'") == {"filterType": "text", "type": "contains", "filter": "a"}
+    assert filter_model("'a' | NOT 'b'")["operator"] == "OR"
+    for bad in ("a", "'a' & 'b' | 'c'", "'a' 'b'"):
+        with pytest.raises(ValueError, match="filter"):
+            filter_model(bad)
+
+
+def test_records_keep_order_and_case(spark):
+    from tallyforge.operators.records import product_records
+
+    data = [("Ozon", "1", " ", "B", "x", 1.0, 1), ("ozon ", "1", "T", None, "X", 2.0, 2), ("Ozon", "1", "U", "C", "y", 3.0, 3)]
+    r = product_records(spark.createDataFrame(data, "marketplace string, sku string, title string, brand string, subcategory string, units double, o int"), "o").first()
+    assert (r.raw_record_id, r.title, r.brand, r.subcategories, r.units, r.n_rows) == ("ozon::1", "T", "B", "x|y", 6.0, 3)
