@@ -7,45 +7,17 @@ are all that the driver ever gathers or broadcasts.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-LOCAL_FOLDER = "file:///tmp/checkpoints"
+from tallyforge.operators.graph import components
+from tallyforge.storage import Scratch, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the cluster names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jvm.get() if jvm.isDefined() else LOCAL_FOLDER
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run, written as Parquet under the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write now, read back: later plans start at the files."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["CHUNK", "Scratch", "bloom", "bloom_hashes", "bucket_counts", "components", "fresh", "in_bloom", "mix_keys", "shared_folder"]
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -145,25 +117,3 @@ def in_bloom(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for probe in probes(keys, len(table) * 8):
         found &= (table[probe >> 3] >> (probe & 7).astype(np.uint8)) & 1 == 1
     return found
-
-
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """(node, component) of the nodes of undirected ``edges`` (a, b); a component is named by its smallest node.
-
-    Alternating large-star and small-star (Kiveris et al., 2014), a round of three shuffles each; rounds are written,
-    and the loop ends when all edges are stars. A star's rows pass one sorted window, which spills and gathers nothing.
-    """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = lambda: F.min("b").over(Window.partitionBy("a"))
-    for k in range(rounds):
-        now = scratch.keep(now, f"{name}-{k}")
-        if k:
-            scratch.drop(f"{name}-{k - 1}")
-        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("low")).union(now.select(F.col("b").alias("v"), F.lit(0).alias("low")))
-        ends = ends.groupBy("v").agg(F.sum("low").alias("n"), F.count("*").alias("c"))
-        if not ends.where("n > 1 or n = 1 and c > 1").take(1):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        large = now.union(now.select("b", "a")).withColumn("m", F.least(least(), F.col("a"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.withColumn("m", least())
-        now = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-    raise RuntimeError(f"{name}: components need more than {rounds} rounds")
