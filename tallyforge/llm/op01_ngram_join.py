@@ -4,9 +4,11 @@ A document is the set of its distinct word shingles. Documents of equal sets for
 ``100 * intersection >= percent * union``. The join is exact and runs on classes:
 
 1. A fixed-size table of shingle frequencies orders shingles by rarity. The *prefix* of a set of n shingles is its
-   ``n - ceil(percent * n / 100) + 1`` rarest; two linked sets share a prefix shingle. Sets that share none with
-   another are done.
-2. Similar classes, those of the same rarest shared shingle, are partitioned into groups of at most ``group_size``.
+   ``n - ceil(percent * n / 100) + k`` rarest; two linked sets share k prefix shingles (for the smaller k of the two).
+   k is half of what the prefix would be for k = 1, so chance meetings don't count. Sets with fewer shared prefix
+   shingles are done.
+2. Similar classes, those whose prefixes have the same most often shared shingle, are partitioned into groups of about ``group_size`` or
+   ``group_tokens`` shingles at most.
    Each group is linked within itself, and with the smallest class of its shingle.
 3. The token-group matrix has a row for each prefix shingle and group. A class is a query against the groups that come
    after its own, share a row, allow its size, and aren't in its component already. A group's token union bounds the
@@ -35,6 +37,11 @@ def needed_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def shared_shingles(n, percent: int):
+    """k: a set of n shingles shares at least k prefix shingles with any set of no fewer shingles that it links with."""
+    return max(1, (n - needed_overlap(n, percent) + 1) // 2)
+
+
 def _sets(batch: pa.RecordBatch, n: int):
     for i, j, data, offsets in tk.batches(batch, "text"):
         yield i, j, list(tk.shingle_sets(tk.words(data, offsets), n))
@@ -50,7 +57,7 @@ def _records(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
             for i, j, sets in _sets(batch, n):
                 prefixes, signatures = [], []
                 for s in sets:
-                    k = len(s) - int(needed_overlap(len(s), percent)) + 1 if len(s) else 0
+                    k = len(s) - needed_overlap(len(s), percent) + shared_shingles(len(s), percent) if len(s) else 0
                     if k < len(s):
                         rare = table[(s & bucket).astype(np.int64)]
                         cut = np.partition(rare, k - 1)[k - 1]
@@ -59,7 +66,7 @@ def _records(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
                     else:
                         s_k = s[np.lexsort((s, table[(s & bucket).astype(np.int64)]))]
                     prefixes.append(s_k)
-                    signatures.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    signatures.append(_signature(s))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary()), tk.list_column(prefixes)],
                     ["doc_id", "n", "sig", "prefix"],
@@ -69,7 +76,7 @@ def _records(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
-    """node, tokens of the documents whose ids may be in the Bloom filter ``wanted``."""
+    """node, sig, tokens of the documents whose ids may be in the Bloom filter ``wanted``."""
 
     def run(it):
         for batch in it:
@@ -77,38 +84,65 @@ def _full_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
             batch = batch.filter(pa.array(hit))
             if batch.num_rows:
                 for i, j, sets in _sets(batch, n):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), tk.list_column(sets)], ["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([_signature(s) for s in sets], pa.binary()), tk.list_column(sets)], ["node", "sig", "tokens"])
+
+    return docs.mapInArrow(run, "node long, sig binary, tokens array<long>")
+
+
+def _signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _possibly(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose node is in ``nodes``, and a few others: less for the join that follows to shuffle."""
+    wanted = sets.sparkSession.sparkContext.broadcast(bloom(nodes, ["node"]))
 
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+    def run(it):
+        for batch in it:
+            batch = batch.filter(pa.array(in_bloom(wanted.value, mix_keys(batch.column("node").to_numpy(zero_copy_only=False)))))
+            if batch.num_rows:
+                yield batch
+
+    return sets.mapInArrow(run, sets.schema)
+
+
+def _meets(percent: int) -> str:
+    """SQL: c shared prefix shingles are enough for a query of n shingles and some member of at least ``least``."""
+    low = f"greatest(ceil({percent} * n / 100), least)"
+    low = f"least(n, {low})"
+    return f"c >= greatest(1, floor(({low} - ceil({percent} * {low} / 100) + 1) / 2))"
 
 
 class _Group:
-    """Members of a group as one array; overlaps of a query with all of them come from one gather."""
+    """Members of a group as lists of members by token: overlaps of a query are counts over its tokens' lists."""
 
     def __init__(self, tokens: np.ndarray, offsets: np.ndarray):
-        self.union, self.row = np.unique(tokens, return_inverse=True)
-        self.starts, self.sizes = offsets[:-1], np.diff(offsets)
-        self.mark = np.zeros(len(self.union) + 1, bool)
+        self.sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+        self.union, self.ends = tokens[self.starts], np.append(self.starts[1:], len(tokens))
 
     def rows_of(self, query: np.ndarray) -> np.ndarray:
+        if not len(self.union):
+            return np.zeros(0, np.int64)
         at = np.searchsorted(self.union, query)
         at[at == len(self.union)] = 0
         return at[self.union[at] == query]
 
     def overlaps(self, rows: np.ndarray) -> np.ndarray:
-        self.mark[rows] = True
-        found = np.add.reduceat(self.mark[self.row].astype(np.int64), self.starts)
-        self.mark[rows] = False
-        return found
+        lo, n = self.starts[rows], self.ends[rows] - self.starts[rows]
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
 
 
 def _link_group(percent: int):
     """Links inside one group: (node, smallest node of its part); the parts are exact within the group."""
 
     def run(key, table):
-        node = table.column("node").to_numpy()
-        tokens, offsets = tk.list_values(tk.whole(table.column("tokens")))
-        order = np.argsort(node, kind="stable")
+        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        tokens, offsets = tk.list_values(tk.whole(table.column("tokens")).take(pa.array(at)))
         group, parent = _Group(tokens, offsets), np.arange(len(node))
 
         def root(i):
@@ -117,16 +151,16 @@ def _link_group(percent: int):
                 i = parent[i]
             return i
 
-        for i in order.tolist():
-            roots = np.array([root(k) for k in range(len(node))]) if len(node) > 2 else parent
-            if (roots == roots[0]).all() and len(node) > 2:
+        parts = len(node)
+        for i in range(len(node)):
+            if parts == 1:
                 break
-            overlap = group.overlaps(group.row[offsets[i] : offsets[i + 1]])
+            overlap = group.overlaps(group.rows_of(tokens[offsets[i] : offsets[i + 1]]))
             for k in np.flatnonzero(100 * overlap >= percent * (group.sizes[i] + group.sizes - overlap)).tolist():
                 a, b = root(i), root(k)
                 if a != b:
-                    a, b = (a, b) if node[a] < node[b] else (b, a)
-                    parent[b] = a
+                    parent[max(a, b)] = min(a, b)  # nodes are in order: a part's root is its smallest
+                    parts -= 1
         found = node[[root(i) for i in range(len(node))]]
         return pa.table({"a": pa.array(node), "b": pa.array(found)})
 
@@ -158,7 +192,7 @@ def _open_groups(percent: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 256, queries_per_task: int = 1024, buckets: int = 1 << 20) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 4096, group_tokens: int = 2_000_000, queries_per_task: int = 4096, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id long, text string).
 
     Words are maximal runs of bytes other than ASCII white space, A-Z folded. A null, empty or blank text has the empty
@@ -179,45 +213,60 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     records = scratch.keep(_records(docs, n, percent, counts), "records")
     classes = records.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m"))
     classes = scratch.keep(classes.select("sig", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")), "classes")
-
-    postings = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    common = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = scratch.keep(postings.join(common, "token"), "postings")
-    first = postings.groupBy("node").agg(F.min(F.struct("pos", "token")).alias("m"), F.first("n").alias("n")).select("node", "n", F.col("m.token").alias("key"))
-    first = scratch.keep(first, "first")
-    wanted = spark.sparkContext.broadcast(bloom(first, ["node"]))
-    sets = scratch.keep(_full_sets(docs, n, wanted).dropDuplicates(["node"]).join(first.select("node"), "node", "left_semi"), "sets")
-
-    keys = first.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"))
-    groups = first.join(keys, "key").withColumn("chunk", F.expr(f"pmod(xxhash64(node), ceil(c / {group_size}))")).withColumn("group", F.xxhash64("key", "chunk"))
-    groups = scratch.keep(groups.select("group", "node", "n", "pivot", "c"), "groups")
-    several = groups.where("c > 1")
-    inside = several.select("group", "node").union(several.select("group", F.col("pivot").alias("node"))).distinct()
-    local = inside.join(sets, "node").groupBy("group").applyInArrow(_link_group(percent), "a long, b long")
+    twice = classes.groupBy("node").agg(F.count("*").alias("c"), F.min("sig").alias("first")).where("c > 1")
+    if twice.take(1):
+        classes = classes.join(twice.select("node", "first"), "node", "left").where("first is null or first = sig").drop("first")
+
+    postings = classes.select("node", "n", "sig", F.explode("prefix").alias("token")).repartition("token")
+    common = postings.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
+    low = f"ceil({percent} * n / 100)"
+    shared = postings.join(common, "token").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c"), F.max(F.struct("met", "token")).alias("m"), F.collect_list("token").alias("shared")
+    )
+    shared = scratch.keep(shared.where(f"c >= greatest(1, floor(({low} - ceil({percent} * {low} / 100) + 1) / 2))").select("node", "n", "sig", F.col("m.token").alias("key"), "shared"), "shared")
+
+    keys = shared.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.expr(f"greatest(ceil(count(*) / {group_size}), ceil(sum(n) / {group_tokens}))").alias("chunks"))
+    groups = shared.join(keys, "key").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("group", F.xxhash64("key", "chunk"))
+    groups = scratch.keep(groups.select("group", "node", "n", "sig", "pivot", "c", "chunks", "shared"), "groups")
+    sets = _full_sets(docs, n, spark.sparkContext.broadcast(bloom(groups, ["node"])))
+    sets = scratch.keep(sets.join(groups.select("node", "sig", "group", "pivot", "c"), ["node", "sig"]).drop("sig"), "sets")
+
+    several = sets.where("c > 1")
+    #: Each group of a key meets the key's smallest class; a key of one group holds it already.
+    far = groups.where("chunks > 1").select("group", F.col("pivot").alias("p")).distinct()
+    moved = several.where("node = pivot").select(F.col("pivot").alias("p"), "tokens").join(far, "p").select("group", F.col("p").alias("node"), "tokens")
+    local = several.select("group", "node", "tokens").union(moved).groupBy("group").applyInArrow(_link_group(percent), "a long, b long")
     edges = scratch.keep(local.where("a <> b"), "edges-0")
+    sets = sets.select("node", "tokens")
+    parts = components(scratch, edges, "parts-1")
     for k in (1, 2):
-        parts = components(scratch, edges, f"parts-{k}")
-        placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("group", "node", "n", "component")
+        placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("group", "node", "n", "component", "shared")
         placed = scratch.keep(placed, f"placed-{k}")
         whole = placed.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
-        rows = postings.select("token", "node").join(placed, "node")
+        rows = placed.select("group", "node", "n", "component", F.explode("shared").alias("token"))
         matrix = rows.select("token", "group").distinct().join(whole, "group").select("token", F.col("group").alias("g"), "least", "most", "low", "high")
         fits = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
         found = rows.join(matrix, "token").where(f"group < g and {fits} and not (low = high and component = low)")
-        found = found.select("node", "g", "low", "high").distinct()
+        found = found.groupBy("node", "n", "g", "low", "high", "least").agg(F.count("*").alias("c")).where(_meets(percent))
         if k == 1:
             alone = found.where("low = high").groupBy("node", "low").agg(F.min("g").alias("g")).select("node", "g")
             found = alone.union(found.where("low <> high").select("node", "g"))
         found = scratch.keep(found.select("node", "g"), f"found-{k}")
+        if not found.take(1):
+            break
         load = found.groupBy("g").agg(F.expr(f"ceil(count(*) / {queries_per_task})").alias("tasks"))
-        asked = found.join(load, "g").withColumn("task", F.expr("pmod(xxhash64(node, 7), tasks)")).select("g", "task", "node").join(sets, "node")
-        opened = placed.withColumnRenamed("group", "g").join(load, "g").withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)"))).select("g", "task", "node", "component").join(sets, "node").toDF("node", "g", "task", "component", "tokens")
-        links = asked.groupBy("g", "task").cogroup(opened.groupBy("g", "task")).applyInArrow(_open_groups(percent), "a long, b long")
-        edges = scratch.keep(edges.union(links), f"edges-{k}")
-    parts = components(scratch, edges, "parts-3")
+        members = placed.withColumnRenamed("group", "g").join(load, "g").withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)"))).select("g", "task", "node", "component")
+        asked = found.join(load, "g").withColumn("task", F.expr("pmod(xxhash64(node, 7), tasks)")).select("g", "task", "node")
+        some = _possibly(sets, asked.select("node").union(members.select("node")))
+        asked = asked.join(some, "node")
+        opened = members.join(some, "node").toDF("node", "g", "task", "component", "tokens")
+        links = scratch.keep(asked.groupBy("g", "task").cogroup(opened.groupBy("g", "task")).applyInArrow(_open_groups(percent), "a long, b long"), f"links-{k}")
+        if links.take(1):
+            edges = edges.union(links)
+            parts = components(scratch, edges, f"parts-{k + 1}")
     named = classes.select("sig", "node").join(parts, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     out = records.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    scratch.drop("postings", "first", "sets", "groups", *(f"{x}-{k}" for x in ("placed", "found") for k in (1, 2)), "edges-0", "edges-1")
+    scratch.drop("shared", "sets", "groups", "edges-0", *(f"{x}-{k}" for x in ("placed", "found", "links") for k in (1, 2)))
     lone = _records(nulls, n, percent, counts).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(lone)
 
