@@ -49,7 +49,7 @@ _EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x A
 
 
 def _vectors(spark, d):
-    x = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("sub"))
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("sub"))
     return i.blocks(x, F.col("sub"))
 
 
@@ -69,7 +69,7 @@ def _(spark, d):
 
 @query("m31_cosine", f"WITH {_EMB} SELECT a.vec_id AS node, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
-    x = table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
     y = x.toDF("other", "w")
     return x.join(y, F.col("other") == F.col("node") + 1).select("node", "other", F.round(i.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
 
@@ -91,7 +91,7 @@ _EDGES = f"{_TOPK}, ed AS (SELECT DISTINCT least(node, other) AS a, greatest(nod
 
 
 def _edges(spark, d):
-    near = i.top_k(_vectors(spark, d), 2).where("node % 3 <> 0")
+    near = i.top_k(_vectors(spark, d), 2)
     return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -119,7 +119,7 @@ def _(spark, d):
     scratch = Scratch(spark, "j13")
     edges = scratch.keep(_edges(spark, d), "edges")
     parts = g.with_singletons(g.components(scratch, edges, "cc"), edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
-    pairs = table(spark, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 7).alias("b"))
+    pairs = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 7).alias("b"))
     return r.component_flags(pairs, parts).select("a", "b", "same_component")
 
 
