@@ -89,9 +89,9 @@ def _marked(name: str, attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what their place tells of them."""
     out: list[Block] = []
-    #: name, article number, whether it is outside the main text, whether it is a link, whether it is a heading
-    stack: list[tuple[str, int, bool, bool, bool]] = []
-    article, articles, bad, link, heading = 0, 0, False, 0, False
+    #: name, article number, whether it is outside the main text, whether it is a link, whether it is a heading, whether it is in an article element
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = []
+    article, articles, bad, link, heading, inside = 0, 0, False, 0, False, False
     texts: list[str] = []
     links = 0
     missing: set[str] = set()
@@ -106,8 +106,8 @@ def blocks(page: str) -> list[Block]:
         links = 0
 
     def restore():
-        nonlocal article, bad, link, heading
-        _, article, bad, _, heading = stack[-1] if stack else ("", 0, False, False, False)
+        nonlocal article, bad, link, heading, inside
+        _, article, bad, _, heading, inside = stack[-1] if stack else ("", 0, False, False, False, False)
         link = sum(1 for s in stack if s[3]) if stack else 0
 
     def add(raw: str):
@@ -177,16 +177,17 @@ def blocks(page: str) -> list[Block]:
             if not article:
                 articles += 1
                 article, worse = articles, False
-            elif name == "article":
-                #: An article inside an article is a comment on it or a teaser.
+            elif name == "article" and inside:
+                #: An article inside an article is a comment on it or a teaser; one inside main is the main text.
                 worse = True
+            inside = inside or name == "article"
         elif name in OUTSIDE or name == "header" and not article or name == "article" or name not in ("html", "body") and _marked(name, attributes):
             worse = True
         if worse != bad and name not in BLOCK:
             flush()
         bad = worse
         heading = heading or name in HEADINGS
-        stack.append((name, article, bad, name == "a", heading))
+        stack.append((name, article, bad, name == "a", heading, inside))
         link += name == "a"
     flush()
     return out
