@@ -11,7 +11,10 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 #: What the SQL keeps of a table besides what the operator asks for.
-SLICES = (" WHERE vec_id < 300", " WHERE vec_id < 200", " WHERE vec_id < 150", " AND node % 3 <> 0")
+SLICES = (
+    " WHERE vec_id < 300", " WHERE vec_id < 200", " WHERE vec_id < 150", " AND node % 3 <> 0",
+    " WHERE o_orderkey % 400 = 1", " WHERE ok <= 100", " AND ok <= 100", " WHERE ok < 2000", " WHERE p_partkey % 3 > 0", " WHERE y = 1995", " WHERE y = 1999", " WHERE y = 2001", " WHERE y = 1996 AND mo = 2", " WHERE y = 1997 AND mo = 3",
+)
 
 
 def whole(sql: str) -> str:
@@ -28,10 +31,10 @@ def same(got, expected) -> None:
     assert np.allclose([x for _, f in a for x in f], [x for _, f in b for x in f], rtol=1e-12, atol=1.1e-3)
 
 
-def expected(name: str) -> list:
+def expected(name: str, folder: str = FOLDER) -> list:
     con = duckdb.connect()
-    for t in ("embeddings",):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    for t in ("embeddings", "lineitem", "orders", "part", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con.execute(whole(entry.oracle_sql()[name])).fetchall()
 
 
@@ -65,3 +68,13 @@ def test_groups_of_all_vectors(spark):
     for name, edges in (("m13_leiden_families", near(5)), ("m14_label_propagation", pairs)):
         parts = entry.queries()[name](spark, FOLDER).collect()
         assert sorted(r.node for r in parts) == sorted({x for p in edges for x in p})
+
+
+@pytest.mark.parametrize("name", ["a41_monthly_dynamics", "f7_hash_exclusion", "a20_graph_report", "p12_row_hash", "w9_group_size", "p11_visible_columns", "k2_decimal_comma", "k4_typed_export"])
+def test_queries_read_all_orders_parts_and_cube_rows(spark, name):
+    same(entry.queries()[name](spark, FOLDER).collect(), expected(name))
+
+
+def test_titles_of_all_articles(spark):
+    folder = "/root/testdata/sf0.01"  # the first orders of smaller tables hold all articles
+    same(entry.queries()["x14_family_title"](spark, folder).collect(), expected("x14_family_title", folder))
