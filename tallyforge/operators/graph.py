@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,9 +11,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.storage import Scratch
 
-#: Nodes of a component that one task groups; larger components stay whole.
-MOST_NODES = 200_000
-
 
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of undirected ``edges`` (a, b); a component is named by its smallest node.
@@ -65,9 +64,9 @@ def _moved(links: list[dict[int, float]], degree: np.ndarray, start: np.ndarray,
     part = start.copy()
     total = np.bincount(part, degree, len(links))
     size = np.bincount(part, minlength=len(links))
-    queue, waiting = list(range(len(links))), np.ones(len(links), bool)
+    queue, waiting = deque(range(len(links))), np.ones(len(links), bool)
     while queue:
-        i = queue.pop(0)
+        i = queue.popleft()
         waiting[i] = False
         if bound is not None and size[part[i]] > 1:
             continue
@@ -146,15 +145,13 @@ def communities(scratch: Scratch, edges: DataFrame, name: str, gamma: float = 0.
     """(node, component) by communities inside each connected component; a community is named by its smallest node.
 
     Communities never cross components, so each component is a group of its own; the null model's total weight is that
-    of the whole graph. A component of more than ``MOST_NODES`` nodes stays one community.
+    of the whole graph. One task groups a component of any size in its memory.
     """
     if method not in ("leiden", "louvain", "label_propagation"):
         raise ValueError(f"no method is called {method!r}")
     edges = scratch.keep(positive_edges(edges), f"{name}-edges")
     two_m = 2 * float(edges.agg(F.sum(F.col("weight"))).first()[0] or 0.0)
     parts = components(scratch, edges, name)
-    size = parts.groupBy("component").agg((F.count("*") + 1).alias("n"))
-    large = size.where(F.col("n") > MOST_NODES)
     rows = edges.join(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "a"), "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,9 +163,7 @@ def communities(scratch: Scratch, edges: DataFrame, name: str, gamma: float = 0.
         return pd.DataFrame({"node": names, "component": [first[c] for c in found.tolist()]})
 
     kind = dict(edges.dtypes)["a"]
-    small = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"node {kind}, component {kind}")
-    whole = parts.join(large.select("component"), "component", "left_semi").select("node", "component")
-    return small.union(whole).union(whole.select(F.col("component").alias("node"), "component").distinct())
+    return rows.groupBy("component").applyInPandas(run, f"node {kind}, component {kind}")
 
 
 def modularity(edges: DataFrame, parts: DataFrame, gamma: float = 1.0) -> DataFrame:
