@@ -234,7 +234,7 @@ def _stable_ids(members: DataFrame, prefix: str, keys: Sequence[str], previous:
     return named.join(fresh, list(keys), "left").select(*keys, F.coalesce("_id", "_new").alias(f"{prefix}_id"))
 
 
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """``df`` with ``_k``, its place from 1 in a total order: ranges are sorted apart and offset by the sizes of those
     before, so no task sees all rows."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())

@@ -116,11 +116,16 @@ def report(cube: DataFrame, spec: ReportSpec) -> DataFrame:
     return rows.groupBy(*(c.alias(n) for n, c in dims.items())).agg(*(c.alias(n) for n, c in metrics(rows).items()))
 
 
+def places(rows: DataFrame) -> list[Column]:
+    """The order of a report's rows by period and dimensions."""
+    first = [c for c in ORDER if c in rows.columns]
+    return [F.col(q(c)).asc_nulls_last() for c in [*first, *(c for c in rows.columns if c not in METRICS and c not in first)]]
+
+
 def ordered(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     """A report in its order: a top report by revenue and sales, limited; the others by period and dimensions, NULLs
     last. All dimensions break ties."""
-    first = [c for c in ORDER if c in rows.columns]
-    dims = [F.col(q(c)).asc_nulls_last() for c in [*first, *(c for c in rows.columns if c not in METRICS and c not in first)]]
+    dims = places(rows)
     if spec.kind == "top_sku":
         return rows.orderBy(F.col(q("Выручка, руб")).desc_nulls_last(), F.col(q("Продажи, шт")).desc_nulls_last(), *dims).limit(spec.rows)
     return rows.orderBy(*dims)

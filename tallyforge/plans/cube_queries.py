@@ -10,6 +10,7 @@ from tallyforge.functions import text as t
 from tallyforge.operators import cube as c
 from tallyforge.operators import exports as e
 from tallyforge.operators import reports as r
+from tallyforge.operators.identity import numbered
 from tallyforge.plans.adapter import CUBE, PROJECT, cube, table
 from tallyforge.plans.catalog import query
 from tallyforge.schema import q, visible
@@ -334,14 +335,13 @@ def _(spark, d):
 @query("o1_report_order", f"WITH {CUBE} SELECT row_number() OVER (ORDER BY y, mo, cat, market) AS place, y AS year, mo AS month, cat AS category, market AS marketplace FROM cube GROUP BY y, mo, cat, market ORDER BY place LIMIT 200")
 def _(spark, d):
     spec = r.ReportSpec("category_month", PROJECT)
-    x = r.ordered(r.report(cube(spark, d), spec), spec).limit(200)
-    w = Window.orderBy("Год", "Месяц", "Категория", "Маркетплейс")
-    return x.select(F.row_number().over(w).cast("long").alias("place"), F.col("Год").alias("year"), F.col("Месяц").alias("month"), F.col("Категория").alias("category"), F.col("Маркетплейс").alias("marketplace"))
+    x = r.report(cube(spark, d), spec)
+    return numbered(x, r.places(x)).orderBy("_k").select(F.col("_k").alias("place"), F.col("Год").alias("year"), F.col("Месяц").alias("month"), F.col("Категория").alias("category"), F.col("Маркетплейс").alias("marketplace"))
 
 
 @query("o2_export_order", f"WITH {CUBE} SELECT rid FROM cube ORDER BY brand DESC NULLS LAST, rid LIMIT 300")
 def _(spark, d):
-    return e.ordered(cube(spark, d), "Бренд", descending=True).limit(300).select(F.col("__row_hash").alias("rid"))
+    return e.ordered(cube(spark, d), "Бренд", descending=True).select(F.col("__row_hash").alias("rid"))
 
 
 @query("o3_paging", f"WITH {CUBE} SELECT rid FROM cube ORDER BY y, mo, cat, market, brand, sku, rid LIMIT 500 OFFSET 1000")

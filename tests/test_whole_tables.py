@@ -14,6 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 SLICES = (
     " WHERE vec_id < 300", " WHERE vec_id < 200", " WHERE vec_id < 150", " AND node % 3 <> 0",
     " WHERE o_orderkey % 400 = 1", " WHERE ok <= 100", " AND ok <= 100", " WHERE ok < 2000", " WHERE p_partkey % 3 > 0", " WHERE y = 1995", " WHERE y = 1999", " WHERE y = 2001", " WHERE y = 1996 AND mo = 2", " WHERE y = 1997 AND mo = 3",
+    " LIMIT 200", " LIMIT 300",
 )
 
 
@@ -78,3 +79,8 @@ def test_queries_read_all_orders_parts_and_cube_rows(spark, name):
 def test_titles_of_all_articles(spark):
     folder = "/root/testdata/sf0.01"  # the first orders of smaller tables hold all articles
     same(entry.queries()["x14_family_title"](spark, folder).collect(), expected("x14_family_title", folder))
+
+
+@pytest.mark.parametrize("name", ["o1_report_order", "o2_export_order"])
+def test_orders_place_all_rows(spark, name):
+    assert [tuple(r) for r in entry.queries()[name](spark, FOLDER).collect()] == expected(name)
