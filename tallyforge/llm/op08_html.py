@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies a block by its link density, length and
 stop-word density, given where it stands: menus, headers, footers, asides, forms, comments, notices and adverts, told by
-tag, role, class or id, are bad whatever they hold; headings and short blocks stay ambiguous. In the second pass an
-ambiguous block takes the label of its nearest decided neighbours: good if the nearest on both sides are good, or the
-one inside the same article is; beyond the edge of an article lies good text, beyond the edge of another page bad.
+tag, role, class or id, are bad whatever they hold, and so are lists of links; headings, short blocks and blocks of few
+stop words, as of another language, tables or code, stay ambiguous. In the second pass an ambiguous block takes the label
+of its nearest decided neighbours: inside an article it is good unless both there are bad, as beyond the edge lies good
+text; elsewhere it is good if one of them is, or if no block of the page is good.
 """
 
 from __future__ import annotations
@@ -209,9 +210,7 @@ def _first_pass(b: Block, somewhere: bool) -> str:
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if density >= HIGH and len(b.text) > LONG or b.article and density >= LOW:
         return GOOD
-    if density >= LOW or b.article:
-        return UNSURE
-    return BAD
+    return UNSURE
 
 
 def main_text(page: str) -> str:
@@ -220,7 +219,7 @@ def main_text(page: str) -> str:
     somewhere = any(b.article for b in found)
     for b in found:
         b.label = _first_pass(b, somewhere)
-    decided = [k for k, b in enumerate(found) if b.label != UNSURE]
+    good = any(b.label == GOOD for b in found)
     before: list[int] = []
     last = -1
     for k, b in enumerate(found):
@@ -237,11 +236,9 @@ def main_text(page: str) -> str:
             if b.article:
                 sides = [found[s].label for s in (before[k], after[k]) if 0 <= s < len(found) and found[s].article == b.article and not found[s].bad]
                 label = BAD if sides and all(s == BAD for s in sides) and len(sides) == 2 else GOOD
-            elif not decided:
-                label = GOOD
             else:
-                sides = [found[s].label if 0 <= s < len(found) else BAD for s in (before[k], after[k])]
-                label = GOOD if sides == [GOOD, GOOD] or GOOD in sides and len(b.text) >= SHORT else BAD
+                sides = [found[s].label for s in (before[k], after[k]) if 0 <= s < len(found)]
+                label = GOOD if GOOD in sides or not good else BAD
         if label == GOOD:
             kept.append(b.text)
     return "\n".join(kept)

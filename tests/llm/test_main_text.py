@@ -15,3 +15,19 @@ def test_article_inside_main():
     assert op08.main_text(f"{nav}<main><article>{body}</article><article><p>{TEXT}</p></article></main>") == f"{whole}\n{TEXT.strip()}"
     assert op08.main_text(f"{nav}<main><article>{body}</article><article class=comment><p>{TEXT}</p></article></main>") == whole
     assert op08.main_text(f"{nav}<main><article>{body}</article><p>{TEXT}</p></main>") == f"{whole}\n{TEXT.strip()}"
+
+
+def test_pages_without_article_or_main():
+    nav, foot = "<nav><a href=/>Home</a></nav>", "<footer>The owner of it all</footer>"
+    whole = f"Title\n{TEXT.strip()}\nThe end."
+    assert op08.main_text(f"<body>{nav}<div><h1>Title</h1><p>{TEXT}</p><p>The end.</p></div>{foot}") == whole
+    assert op08.main_text(f"<body>{nav}<div><h1>Title</h1><p>{TEXT}</p><p>The end.</p></div><div class=promo>Buy</div><p>Small print</p><ul><li><a href=x>more</a></ul>{foot}") == whole
+    assert op08.main_text(f"<body>{nav}<p>One line.</p>{foot}") == "One line."
+
+
+def test_pages_of_few_stop_words():
+    nav, foot = "<nav><a href=/>Home</a></nav>", "<footer>The owner of it all</footer>"
+    russian, code = ("Сегодня утром жители города увидели первый снег, и дети вышли играть во двор. " * 4).strip(), "x = f(y); " * 12 + "end"
+    assert op08.main_text(f"<body>{nav}<div><h1>Снег</h1><p>{russian}</p><pre>{code}</pre><p>Конец.</p></div>{foot}") == f"Снег\n{russian}\n{code}\nКонец."
+    assert op08.main_text(f"<body>{nav}<div><p>{russian}</p><p>{TEXT}</p><pre>{code}</pre></div>{foot}") == f"{russian}\n{TEXT.strip()}\n{code}"
+    assert op08.main_text(f"<body>{nav}<div class=sidebar><p>{russian}</p></div>{foot}") == ""
