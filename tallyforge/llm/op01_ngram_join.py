@@ -76,7 +76,7 @@ def _records(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
-    """node, sig, tokens of the documents whose ids may be in the Bloom filter ``wanted``."""
+    """doc_id, sig, tokens of the documents whose ids may be in the Bloom filter ``wanted``."""
 
     def run(it):
         for batch in it:
@@ -84,9 +84,9 @@ def _full_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
             batch = batch.filter(pa.array(hit))
             if batch.num_rows:
                 for i, j, sets in _sets(batch, n):
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([_signature(s) for s in sets], pa.binary()), tk.list_column(sets)], ["node", "sig", "tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([_signature(s) for s in sets], pa.binary()), tk.list_column(sets)], ["doc_id", "sig", "tokens"])
 
-    return docs.mapInArrow(run, "node long, sig binary, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, sig binary, tokens array<long>")
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -212,24 +212,26 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     counts = spark.sparkContext.broadcast(bucket_counts(docs, hashes, buckets))
     records = scratch.keep(_records(docs, n, percent, counts), "records")
     classes = records.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m"))
-    classes = scratch.keep(classes.select("sig", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")), "classes")
-    twice = classes.groupBy("node").agg(F.count("*").alias("c"), F.min("sig").alias("first")).where("c > 1")
-    if twice.take(1):
-        classes = classes.join(twice.select("node", "first"), "node", "left").where("first is null or first = sig").drop("first")
-
-    postings = classes.select("node", "n", "sig", F.explode("prefix").alias("token")).repartition("token")
+    classes = scratch.keep(classes.select("sig", F.col("m.doc_id").alias("doc_id"), F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")), "classes")
+    #: A class is a node by its smallest doc_id; where several classes have the same, all but one get a hash.
+    twice = classes.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("sig").alias("first")).where("c > 1")
+    several_texts = bool(twice.take(1))
+    if several_texts:
+        classes = classes.join(twice.select("doc_id", "first"), "doc_id", "left").withColumn("node", F.when(F.col("first") != F.col("sig"), F.xxhash64("doc_id", "sig")).otherwise(F.col("doc_id"))).drop("first")
+
+    postings = classes.select("doc_id", "node", "n", "sig", F.explode("prefix").alias("token")).repartition("token")
     common = postings.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
     low = f"ceil({percent} * n / 100)"
     shared = postings.join(common, "token").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c"), F.max(F.struct("met", "token")).alias("m"), F.collect_list("token").alias("shared")
+        F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c"), F.max(F.struct("met", "token")).alias("m"), F.collect_list("token").alias("shared")
     )
-    shared = scratch.keep(shared.where(f"c >= greatest(1, floor(({low} - ceil({percent} * {low} / 100) + 1) / 2))").select("node", "n", "sig", F.col("m.token").alias("key"), "shared"), "shared")
+    shared = scratch.keep(shared.where(f"c >= greatest(1, floor(({low} - ceil({percent} * {low} / 100) + 1) / 2))").select("doc_id", "node", "n", "sig", F.col("m.token").alias("key"), "shared"), "shared")
 
     keys = shared.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.expr(f"greatest(ceil(count(*) / {group_size}), ceil(sum(n) / {group_tokens}))").alias("chunks"))
     groups = shared.join(keys, "key").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("group", F.xxhash64("key", "chunk"))
-    groups = scratch.keep(groups.select("group", "node", "n", "sig", "pivot", "c", "chunks", "shared"), "groups")
-    sets = _full_sets(docs, n, spark.sparkContext.broadcast(bloom(groups, ["node"])))
-    sets = scratch.keep(sets.join(groups.select("node", "sig", "group", "pivot", "c"), ["node", "sig"]).drop("sig"), "sets")
+    groups = scratch.keep(groups.select("group", "doc_id", "node", "n", "sig", "pivot", "c", "chunks", "shared"), "groups")
+    sets = _full_sets(docs, n, spark.sparkContext.broadcast(bloom(groups, ["doc_id"])))
+    sets = scratch.keep(sets.join(groups.select("doc_id", "node", "sig", "group", "pivot", "c"), ["doc_id", "sig"]).drop("doc_id", "sig"), "sets")
 
     several = sets.where("c > 1")
     #: Each group of a key meets the key's smallest class; a key of one group holds it already.
@@ -264,7 +266,11 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
         if links.take(1):
             edges = edges.union(links)
             parts = components(scratch, edges, f"parts-{k + 1}")
-    named = classes.select("sig", "node").join(parts, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+    named = classes.select("sig", "doc_id", "node").join(parts, "node", "left").select("sig", "doc_id", F.coalesce("component", "node").alias("component"))
+    if several_texts:
+        lowest = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = named.join(lowest, "component").select("sig", F.col("least").alias("component"))
+    named = named.select("sig", "component")
     out = records.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     scratch.drop("shared", "sets", "groups", "edges-0", *(f"{x}-{k}" for x in ("placed", "found", "links") for k in (1, 2)))
     lone = _records(nulls, n, percent, counts).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
