@@ -216,7 +216,7 @@ def _(spark, d):
     return r.in_scope(cube(spark, d), PROJECT, ["economy", "promo"], 1995 * 12 + 11, 1996 * 12 + 2).select(F.col("__row_hash").alias("rid"))
 
 
-@query("f7_hash_exclusion", f"WITH {CUBE} SELECT rid FROM cube WHERE rid NOT IN (SELECT rid FROM cube WHERE ok <= 100 ORDER BY rid LIMIT 3) AND ok <= 100")
+@query("f7_hash_exclusion", f"WITH {CUBE} SELECT rid FROM cube WHERE rid NOT IN (SELECT rid FROM cube ORDER BY rid LIMIT 3)")
 def _(spark, d):
     x = cube(spark, d)
     three = [r[0] for r in x.select("__row_hash").orderBy("__row_hash").limit(3).collect()]
@@ -327,19 +327,19 @@ def _(spark, d):
     return cube(spark, d).groupBy(F.col("__marketplace_code").alias("marketplace_code")).agg(F.percentile(x, F.lit(0.2)).alias("q20"), F.percentile(x, F.lit(0.95)).alias("q95"))
 
 
-@query("w9_group_size", f"WITH {CUBE} SELECT rid, count(*) OVER (PARTITION BY art) AS size FROM cube WHERE y = 1999")
+@query("w9_group_size", f"WITH {CUBE} SELECT rid, count(*) OVER (PARTITION BY art) AS size FROM cube")
 def _(spark, d):
     return cube(spark, d).select(F.col("__row_hash").alias("rid"), F.count("*").over(Window.partitionBy("Артикул")).alias("size"))
 
 
-@query("o1_report_order", f"WITH {CUBE} SELECT row_number() OVER (ORDER BY y, mo, cat, market) AS place, y AS year, mo AS month, cat AS category, market AS marketplace FROM cube GROUP BY y, mo, cat, market ORDER BY place LIMIT 200")
+@query("o1_report_order", f"WITH {CUBE} SELECT row_number() OVER (ORDER BY y, mo, cat, market) AS place, y AS year, mo AS month, cat AS category, market AS marketplace FROM cube GROUP BY y, mo, cat, market ORDER BY place")
 def _(spark, d):
     spec = r.ReportSpec("category_month", PROJECT)
     x = r.report(cube(spark, d), spec)
     return numbered(x, r.places(x)).orderBy("_k").select(F.col("_k").alias("place"), F.col("Год").alias("year"), F.col("Месяц").alias("month"), F.col("Категория").alias("category"), F.col("Маркетплейс").alias("marketplace"))
 
 
-@query("o2_export_order", f"WITH {CUBE} SELECT rid FROM cube ORDER BY brand DESC NULLS LAST, rid LIMIT 300")
+@query("o2_export_order", f"WITH {CUBE} SELECT rid FROM cube ORDER BY brand DESC NULLS LAST, rid")
 def _(spark, d):
     return e.ordered(cube(spark, d), "Бренд", descending=True).select(F.col("__row_hash").alias("rid"))
 
@@ -366,14 +366,14 @@ def _(spark, d):
     return x[0].union(x[1]).union(x[2]).distinct()
 
 
-@query("p11_visible_columns", f"WITH {CUBE} SELECT brand, sku AS title FROM cube WHERE y = 2001")
+@query("p11_visible_columns", f"WITH {CUBE} SELECT brand, sku AS title FROM cube")
 def _(spark, d):
     x = e.projected(cube(spark, d), ["Бренд", "__row_hash", "SKU", "nothing"])
     assert visible(["__a", "b"], ["__a"]) == ["b"]
     return _ascii(x)
 
 
-@query("p12_row_hash", f"WITH {CUBE} SELECT rid, sha1(concat_ws('|', 'demo', y, mo, mp, ck, sku, coalesce(CASE WHEN ok % 2 = 0 THEN brand END, '<NULL>'))) AS row_hash, sha1(concat_ws('|', 'demo', y, mo, mp, sku, coalesce(CASE WHEN ok % 2 = 0 THEN brand END, '<NULL>'))) AS business_hash FROM cube WHERE y = 1995")
+@query("p12_row_hash", f"WITH {CUBE} SELECT rid, sha1(concat_ws('|', 'demo', y, mo, mp, ck, sku, coalesce(CASE WHEN ok % 2 = 0 THEN brand END, '<NULL>'))) AS row_hash, sha1(concat_ws('|', 'demo', y, mo, mp, sku, coalesce(CASE WHEN ok % 2 = 0 THEN brand END, '<NULL>'))) AS business_hash FROM cube")
 def _(spark, d):
     x = cube(spark, d).withColumn("rid", F.col("__row_hash")).withColumn("Бренд", F.expr("if(cast(substring_index(__row_hash, '-', 1) as long) % 2 = 0, `Бренд`, null)"))
     return c.with_hashes(x, ["SKU", "Бренд"]).select("rid", F.col("__row_hash").alias("row_hash"), F.col("__business_row_hash").alias("business_hash"))
@@ -392,13 +392,13 @@ def _(spark, d):
     return x.select("y", "mo", loaded.alias("days_loaded"), days.alias("days_in_month"))
 
 
-@query("k2_decimal_comma", f"WITH {CUBE} SELECT rid, regexp_replace(CAST(rev AS VARCHAR), '([0-9])\\.([0-9])', '\\1,\\2', 'g') AS revenue, CAST(qty AS VARCHAR) AS year FROM cube WHERE y = 1996 AND mo = 2")
+@query("k2_decimal_comma", f"WITH {CUBE} SELECT rid, regexp_replace(CAST(rev AS VARCHAR), '([0-9])\\.([0-9])', '\\1,\\2', 'g') AS revenue, CAST(qty AS VARCHAR) AS year FROM cube")
 def _(spark, d):
     x = cube(spark, d).select(F.col("__row_hash").alias("rid"), F.replace(F.col(q("Выручка, руб")), F.lit(","), F.lit(".")).alias("revenue"), F.replace(F.col(q("Продажи, шт")), F.lit(","), F.lit(".")).alias("Год"))
     return e.with_decimal_commas(x).withColumnRenamed("Год", "year")
 
 
-@query("k4_typed_export", f"WITH {CUBE} SELECT rid, CAST(floor(qty) AS BIGINT) AS units, CAST(rev AS DOUBLE) AS revenue, CAST(NULL AS BIGINT) AS bad FROM cube WHERE y = 1997 AND mo = 3")
+@query("k4_typed_export", f"WITH {CUBE} SELECT rid, CAST(floor(qty) AS BIGINT) AS units, CAST(rev AS DOUBLE) AS revenue, CAST(NULL AS BIGINT) AS bad FROM cube")
 def _(spark, d):
     x = cube(spark, d).select(F.col("__row_hash").alias("rid"), F.col(q("Продажи, шт")).alias("units"), F.col(q("Выручка, руб")).alias("revenue"), F.col("SKU").alias("bad"))
     return e.typed(x, {"units": "integer", "revenue": "double", "bad": "integer"})

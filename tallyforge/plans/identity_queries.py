@@ -45,7 +45,7 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", i.pair_hash(F.col("p_name"), F.col("p_brand")).alias("h"))
 
 
-_EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 300)"
+_EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 
 
 def _vectors(spark, d):
@@ -62,9 +62,9 @@ def _(spark, d):
     return i.top_k(_vectors(spark, d), 5, tile=16).select("node", "other", F.round("score", 4).alias("score"))
 
 
-@query("m4_candidate_pairs", f"{_TOPK} SELECT least(node, other) AS node_id_a, greatest(node, other) AS node_id_b, round(round(max(score), 6), 4) AS similarity FROM k WHERE rank <= 5 AND node <> other GROUP BY 1, 2")
+@query("m4_candidate_pairs", f"{_TOPK} SELECT least(node, other) AS node_id_a, greatest(node, other) AS node_id_b, round(max(score), 6) AS similarity FROM k WHERE rank <= 5 AND node <> other GROUP BY 1, 2")
 def _(spark, d):
-    return i.candidate_pairs(i.top_k(_vectors(spark, d), 5)).select("node_id_a", "node_id_b", F.round("similarity", 4).alias("similarity"))
+    return i.candidate_pairs(i.top_k(_vectors(spark, d), 5)).select("node_id_a", "node_id_b", "similarity")
 
 
 @query("m31_cosine", f"WITH {_EMB} SELECT a.vec_id AS node, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
@@ -87,7 +87,7 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", i.threshold_of(F.lit(""), k).alias("threshold"))
 
 
-_EDGES = f"{_TOPK}, ed AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM k WHERE rank <= 2 AND node <> other AND node % 3 <> 0)"
+_EDGES = f"{_TOPK}, ed AS (SELECT DISTINCT least(node, other) AS a, greatest(node, other) AS b FROM k WHERE rank <= 2 AND node <> other)"
 
 
 def _edges(spark, d):
@@ -114,7 +114,7 @@ def _(spark, d):
     return g.sizes(parts)
 
 
-@query("j13_component_map", f"{_REACH}, p AS (SELECT x, min(y) AS c FROM reach GROUP BY x) SELECT m.a, m.b, coalesce(u.c = v.c, FALSE) AS same_component FROM (SELECT vec_id AS a, vec_id + 7 AS b FROM embeddings WHERE vec_id < 200) m LEFT JOIN p u ON u.x = m.a LEFT JOIN p v ON v.x = m.b")
+@query("j13_component_map", f"{_REACH}, p AS (SELECT x, min(y) AS c FROM reach GROUP BY x) SELECT m.a, m.b, coalesce(u.c = v.c, FALSE) AS same_component FROM (SELECT vec_id AS a, vec_id + 7 AS b FROM embeddings) m LEFT JOIN p u ON u.x = m.a LEFT JOIN p v ON v.x = m.b")
 def _(spark, d):
     scratch = Scratch(spark, "j13")
     edges = scratch.keep(_edges(spark, d), "edges")
@@ -474,7 +474,7 @@ def _(spark, d):
     return cube(spark, d).agg(*(F.count_if(c).alias(k) for k, c in flags.items()))
 
 
-@query("a41_monthly_dynamics", "WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_orderkey % 400 = 1 GROUP BY 1), b AS (SELECT min(month) AS lo, max(month) AS hi, sum(n) AS t FROM c), m AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month, t FROM b) SELECT month, coalesce(n, 0) AS n, coalesce(n, 0) / t AS share, avg(coalesce(n, 0)) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean3 FROM m LEFT JOIN c USING (month)")
+@query("a41_monthly_dynamics", "WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT min(month) AS lo, max(month) AS hi, sum(n) AS t FROM c), m AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month, t FROM b) SELECT month, coalesce(n, 0) AS n, coalesce(n, 0) / t AS share, avg(coalesce(n, 0)) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean3 FROM m LEFT JOIN c USING (month)")
 def _(spark, d):
     return r.monthly(table(spark, d, "orders"), F.col("o_orderdate"))
 
@@ -490,9 +490,9 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("lo"), F.percentile("n_chars", F.lit(0.5)).alias("mid"), F.round(F.percentile("n_chars", F.lit(0.95)), 6).alias("p95"), F.max("n_chars").alias("hi"))
 
 
-@query("a49_node_score_stats", f"{_TOPK}, p AS (SELECT least(node, other) AS a, greatest(node, other) AS b, round(round(max(score), 6), 4) AS score FROM k WHERE rank <= 3 AND node <> other GROUP BY 1, 2), z AS (SELECT a AS node, score FROM p UNION ALL SELECT b, score FROM p) SELECT node, count(*) AS edges, max(score) AS best, min(score) AS worst FROM z GROUP BY node")
+@query("a49_node_score_stats", f"{_TOPK}, p AS (SELECT least(node, other) AS a, greatest(node, other) AS b, round(max(score), 6) AS score FROM k WHERE rank <= 3 AND node <> other GROUP BY 1, 2), z AS (SELECT a AS node, score FROM p UNION ALL SELECT b, score FROM p) SELECT node, count(*) AS edges, max(score) AS best, min(score) AS worst FROM z GROUP BY node")
 def _(spark, d):
-    x = i.candidate_pairs(i.top_k(_vectors(spark, d), 3)).select(F.col("node_id_a").alias("a"), F.col("node_id_b").alias("b"), F.round("similarity", 4).alias("score"))
+    x = i.candidate_pairs(i.top_k(_vectors(spark, d), 3)).select(F.col("node_id_a").alias("a"), F.col("node_id_b").alias("b"), F.col("similarity").alias("score"))
     return r.node_scores(x)
 
 

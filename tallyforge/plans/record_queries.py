@@ -29,7 +29,7 @@ def _(spark, d):
     return r.collapsed_titles(r.product_records(_rows(spark, d), "rid"))
 
 
-@query("a20_graph_report", "WITH f AS (SELECT p_partkey % 300 AS f, count(*) AS size, count(DISTINCT p_brand) AS b FROM part WHERE p_partkey % 3 > 0 GROUP BY 1) SELECT count(*) AS families, avg(size) AS mean, avg(size) FILTER (WHERE size > 1) AS mean_of_several, max(size) AS largest, count(*) FILTER (WHERE size > 1) AS several FROM f")
+@query("a20_graph_report", "WITH f AS (SELECT p_partkey % 300 AS f, count(*) AS size, count(DISTINCT p_brand) AS b FROM part GROUP BY 1) SELECT count(*) AS families, avg(size) AS mean, avg(size) FILTER (WHERE size > 1) AS mean_of_several, max(size) AS largest, count(*) FILTER (WHERE size > 1) AS several FROM f")
 def _(spark, d):
     x = table(spark, d, "part").select((F.col("p_partkey") % 300).alias("family"), F.col("p_brand").alias("brand"), F.col("p_type").alias("subcategory"))
     return r.family_stats(x)[1]
@@ -69,7 +69,7 @@ def _(spark, d):
     return table(spark, d, "documents").select(F.col("source").alias("algorithm"), "lang", "n_chars").groupBy("algorithm").pivot("lang", ["de", "en"]).agg(F.max("n_chars"))
 
 
-@query("m5_scoped_topk", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 150), s AS (SELECT a.vec_id AS node, b.vec_id AS other, a.label AS la, b.label AS lb, list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])) AS score FROM e a JOIN e b ON TRUE), n1 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s WHERE la = lb AND la > 0) WHERE rk <= 4), n2 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s) WHERE rk <= CASE WHEN la = 0 THEN 4 ELSE 2 END) SELECT least(node, other) AS a, greatest(node, other) AS b, round(round(max(score), 6), 3) AS score FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) WHERE node <> other GROUP BY 1, 2")
+@query("m5_scoped_topk", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS node, b.vec_id AS other, a.label AS la, b.label AS lb, list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])) AS score FROM e a JOIN e b ON TRUE), n1 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s WHERE la = lb AND la > 0) WHERE rk <= 4), n2 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s) WHERE rk <= CASE WHEN la = 0 THEN 4 ELSE 2 END) SELECT least(node, other) AS a, greatest(node, other) AS b, round(round(max(score), 6), 3) AS score FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) WHERE node <> other GROUP BY 1, 2")
 def _(spark, d):
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), F.expr("if(label > 0, 'l' || label, '')").alias("sub"))
     return r.scoped_pairs(x, 4, 2).select("a", "b", F.round("score", 3).alias("score"))
