@@ -10,11 +10,16 @@ LOCAL_FOLDER = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the cluster names none, as in tests."""
+    """``spark.checkpoint.dir``; a local folder only where one machine runs all and none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jvm.get() if jvm.isDefined() else LOCAL_FOLDER
+        if jvm.isDefined():
+            named = jvm.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            named = LOCAL_FOLDER
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -47,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
+        self.sent: list = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,3 +65,14 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
+
+    def send(self, value):
+        """A broadcast of a value of bounded size, until ``release``."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def release(self) -> None:
+        """Free the broadcasts on the driver and the executors. Only for results that have been written."""
+        for one in self.sent:
+            one.destroy()
+        self.sent.clear()
