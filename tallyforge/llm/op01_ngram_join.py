@@ -10,10 +10,12 @@ A document is the set of its distinct word shingles. Documents of equal sets for
 2. Similar classes, those whose prefixes have the same most often shared shingle, are partitioned into groups of about ``group_size`` or
    ``group_tokens`` shingles at most.
    Each group is linked within itself, and with the smallest class of its shingle.
-3. The token-group matrix has a row for each prefix shingle and group. A class is a query against the groups that come
-   after its own, share a row, allow its size, and aren't in its component already. A group's token union bounds the
-   overlap with the query; only a group that can reach the threshold is opened and compared member by member.
-   A first round tries each query on one group of each component; the second covers all that are still apart.
+3. The token-group matrix has a row for each prefix shingle and group. Groups are ranked by the size of their component,
+   and a class is a query against the groups that rank above its own, share a row, allow its size, and aren't in its
+   component already. So the members of the largest component of a shingle ask nothing by it, and leave the matrix's
+   join before it. A group's token union bounds the overlap with the query; only a group that can reach the threshold
+   is opened and compared member by member. A first round tries each query on one group of each component; the second
+   covers all that are still apart.
 
 No pair inside a component is needed twice, so thousands of near copies cost about as many comparisons, not their
 square. Shingles are 64-bit hashes.
@@ -93,9 +95,20 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _possibly(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def _set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles of every document."""
+
+    def run(it):
+        for batch in it:
+            for i, j, sets in _sets(batch, n):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "n_shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long")
+
+
+def _possibly(scratch: Scratch, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``sets`` whose node is in ``nodes``, and a few others: less for the join that follows to shuffle."""
-    wanted = sets.sparkSession.sparkContext.broadcast(bloom(nodes, ["node"]))
+    wanted = scratch.send(bloom(nodes, ["node"]))
 
     def run(it):
         for batch in it:
@@ -192,7 +205,7 @@ def _open_groups(percent: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 4096, group_tokens: int = 2_000_000, queries_per_task: int = 4096, buckets: int = 1 << 20) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 1024, group_tokens: int = 1_000_000, queries_per_task: int = 4096, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id long, text string).
 
     Words are maximal runs of bytes other than ASCII white space, A-Z folded. A null, empty or blank text has the empty
@@ -209,7 +222,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
         for _, _, sets in _sets(batch, n):
             yield np.concatenate(sets)
 
-    counts = spark.sparkContext.broadcast(bucket_counts(docs, hashes, buckets))
+    counts = scratch.send(bucket_counts(docs, hashes, buckets))
     records = scratch.keep(_records(docs, n, percent, counts), "records")
     classes = records.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m"))
     classes = scratch.keep(classes.select("sig", F.col("m.doc_id").alias("doc_id"), F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")), "classes")
@@ -219,8 +232,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     if several_texts:
         classes = classes.join(twice.select("doc_id", "first"), "doc_id", "left").withColumn("node", F.when(F.col("first") != F.col("sig"), F.xxhash64("doc_id", "sig")).otherwise(F.col("doc_id"))).drop("first")
 
-    postings = classes.select("doc_id", "node", "n", "sig", F.explode("prefix").alias("token")).repartition("token")
-    common = postings.groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
+    #: Counts are summed before they are dealt by token; the join's raw postings of a hot token can be split.
+    common = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("met")).where("met > 1")
+    postings = classes.select("doc_id", "node", "n", "sig", F.explode("prefix").alias("token"))
     low = f"ceil({percent} * n / 100)"
     shared = postings.join(common, "token").groupBy("node").agg(
         F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c"), F.max(F.struct("met", "token")).alias("m"), F.collect_list("token").alias("shared")
@@ -230,7 +244,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     keys = shared.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot"), F.expr(f"greatest(ceil(count(*) / {group_size}), ceil(sum(n) / {group_tokens}))").alias("chunks"))
     groups = shared.join(keys, "key").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")).withColumn("group", F.xxhash64("key", "chunk"))
     groups = scratch.keep(groups.select("group", "doc_id", "node", "n", "sig", "pivot", "c", "chunks", "shared"), "groups")
-    sets = _full_sets(docs, n, spark.sparkContext.broadcast(bloom(groups, ["doc_id"])))
+    sets = _full_sets(docs, n, scratch.send(bloom(groups, ["doc_id"])))
     sets = scratch.keep(sets.join(groups.select("doc_id", "node", "sig", "group", "pivot", "c"), ["doc_id", "sig"]).drop("doc_id", "sig"), "sets")
 
     several = sets.where("c > 1")
@@ -244,22 +258,27 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     for k in (1, 2):
         placed = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("group", "node", "n", "component", "shared")
         placed = scratch.keep(placed, f"placed-{k}")
+        size = placed.groupBy("component").agg(F.count("*").alias("size"))
         whole = placed.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
-        rows = placed.select("group", "node", "n", "component", F.explode("shared").alias("token"))
-        matrix = rows.select("token", "group").distinct().join(whole, "group").select("token", F.col("group").alias("g"), "least", "most", "low", "high")
+        whole = whole.join(size.withColumnRenamed("component", "low"), "low").withColumn("rank", F.expr("struct(if(low = high, size, 0L) as size, low)")).drop("size")
+        known = placed.join(whole, "group")
+        matrix = known.select(F.explode("shared").alias("token"), F.col("group").alias("g"), "least", "most", "low", "high", F.col("rank").alias("above")).distinct()
+        top = matrix.groupBy("token").agg(F.max("above").alias("top"))
+        rows = known.select("group", "node", "n", "component", "rank", F.expr("low = high").alias("pure"), F.explode("shared").alias("token"))
+        rows = rows.join(top, "token").where("not (pure and rank >= top)").drop("top", "pure")
         fits = f"100 * n >= {percent} * least and 100 * most >= {percent} * n"
-        found = rows.join(matrix, "token").where(f"group < g and {fits} and not (low = high and component = low)")
+        found = rows.join(matrix, "token").where(f"(rank < above or rank = above and group < g) and {fits} and not (low = high and component = low)")
         found = found.groupBy("node", "n", "g", "low", "high", "least").agg(F.count("*").alias("c")).where(_meets(percent))
         if k == 1:
-            alone = found.where("low = high").groupBy("node", "low").agg(F.min("g").alias("g")).select("node", "g")
-            found = alone.union(found.where("low <> high").select("node", "g"))
-        found = scratch.keep(found.select("node", "g"), f"found-{k}")
+            alone = found.where("low = high").groupBy("node", "low").agg(F.min(F.struct("g", "n")).alias("m")).select("node", "m.n", "m.g")
+            found = alone.union(found.where("low <> high").select("node", "n", "g"))
+        found = scratch.keep(found.select("node", "n", "g"), f"found-{k}")
         if not found.take(1):
             break
-        load = found.groupBy("g").agg(F.expr(f"ceil(count(*) / {queries_per_task})").alias("tasks"))
+        load = found.groupBy("g").agg(F.expr(f"greatest(ceil(count(*) / {queries_per_task}), ceil(sum(n) / {group_tokens}))").alias("tasks"))
         members = placed.withColumnRenamed("group", "g").join(load, "g").withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)"))).select("g", "task", "node", "component")
         asked = found.join(load, "g").withColumn("task", F.expr("pmod(xxhash64(node, 7), tasks)")).select("g", "task", "node")
-        some = _possibly(sets, asked.select("node").union(members.select("node")))
+        some = _possibly(scratch, sets, asked.select("node").union(members.select("node")))
         asked = asked.join(some, "node")
         opened = members.join(some, "node").toDF("node", "g", "task", "component", "tokens")
         links = scratch.keep(asked.groupBy("g", "task").cogroup(opened.groupBy("g", "task")).applyInArrow(_open_groups(percent), "a long, b long"), f"links-{k}")
@@ -273,8 +292,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, gro
     named = named.select("sig", "component")
     out = records.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     scratch.drop("shared", "sets", "groups", "edges-0", *(f"{x}-{k}" for x in ("placed", "found", "links") for k in (1, 2)))
-    lone = _records(nulls, n, percent, counts).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(lone)
+    scratch.release()
+    return out.union(_set_sizes(nulls, n).withColumn("component_id", F.lit(None).cast("long")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -305,21 +305,22 @@ def _wrongly_named(lines: DataFrame, copies, later: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line").mapInArrow(run, "doc_id long, line int").join(later, ["doc_id", "line"], "left_anti")
 
 
-def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18) -> DataFrame:
+def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18, shard_postings: int = 100_000) -> DataFrame:
     """(doc_id, line) of every line that has an earlier match; null doc_ids aren't allowed. See the module."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    send = spark.sparkContext.broadcast
+    send = scratch.send
     docs = docs.select("doc_id", "text")
     first = scratch.keep(_first_pass(docs, buckets, min_words), "first")
     table = _table(first.where("chunk is not null").select("chunk", "counts"), buckets)
     counts = send(table)
-    #: About 200,000 postings a shard: prefixes are (100 - percent) percent of all words and one a line.
-    shards = max(16, int(table.sum(dtype=np.int64)) * (110 - percent) // 100 // 200_000)
+    #: About so many postings a shard: prefixes are (100 - percent) percent of all words and one a line.
+    shards = max(16, int(table.sum(dtype=np.int64)) * (110 - percent) // 100 // shard_postings)
     lines = first.where("chunk is null").select("sig", "doc_id", "line")
-    lowest = lines.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("m")).where("c > 1")
-    later = lines.join(lowest, "sig").where("doc_id > m.doc_id or doc_id = m.doc_id and line > m.line").select("doc_id", "line")
-    later = scratch.keep(later, "later")
+    #: The first of each signature comes from partial minima; copies are the rest, by their own keys, so that a line
+    #: with any number of copies is never one task's work.
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("m.doc_id", "m.line")
+    later = scratch.keep(lines.select("doc_id", "line").join(firsts, ["doc_id", "line"], "left_anti"), "later")
     copies = send(bloom(later, ["doc_id", "line"]))
     spared = send(bloom(_wrongly_named(lines, copies, later), ["doc_id", "line"], 1 << 22))
     schema = "doc_id long, line int, to_doc long, to_line int, more boolean"
@@ -346,6 +347,7 @@ def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_
         same = same.union(verified(rest, 2)[0])
     out = scratch.keep(later.union(same).distinct(), "gone")
     scratch.drop("first", "later", "pairs-1", "pairs-2", "arrays-1", "arrays-2", "same-1", "same-2", "left")
+    scratch.release()
     return out
 
 

@@ -6,8 +6,8 @@ greedy string tiling marks tiles: again and again the longest matches that no ti
 Karp-Rabin hashes of the current search length, until matches are shorter than ``min_match``. Reordered passages are
 tiles in any order. A document is contaminated by an item when tiles cover at least ``least`` of the item's words.
 
-Documents stream past the benchmark, which is taken in blocks of at most ``block_words`` words, so what is broadcast has
-a fixed bound; the blocks' results are united.
+Documents stream past the benchmark, which is taken in blocks of at most ``block_words`` words, so what is broadcast at a
+time has a fixed bound. Of several blocks each one's pairs are written, and its broadcast freed, before the next.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyforge.llm import textkit as tk
+from tallyforge.llm.shared import Scratch
 
 
 def tile(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -167,9 +168,14 @@ def coverage(docs: DataFrame, items: DataFrame, min_match: int = 5, least: float
 
         return run
 
-    for ids, words in item_blocks(items, block_words):
-        seeds, owner = _seeds(words, min_match)
-        part = docs.select("doc_id", "text").mapInArrow(scan(spark.sparkContext.broadcast((ids, words, seeds, owner))), schema)
+    scratch, blocks = Scratch(spark, "decontamination"), item_blocks(items, block_words)
+    block, k = next(blocks, None), 0
+    while block is not None:
+        part = docs.select("doc_id", "text").mapInArrow(scan(scratch.send((*block, *_seeds(block[1], min_match)))), schema)
+        block, k = next(blocks, None), k + 1
+        if block is not None or k > 1:
+            part = scratch.keep(part, f"block-{k}")
+            scratch.release()
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], schema)
