@@ -12,7 +12,8 @@ time has a fixed bound. Of several blocks each one's pairs are written, and its
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,62 +28,85 @@ from tallyforge.llm.shared import Scratch
 def tile(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (pattern position, text position, length) of each tile.
 
-    The search length starts at the longest possible and halves while nothing is found; a match longer than twice the
-    search length restarts the search there. Matches of one round are marked longest first, ties by position.
+    The search length starts at the longest possible and halves when all its matches are dealt with; a match longer than
+    twice the search length restarts the search there. Matches are marked longest first, ties by position; what a tile
+    leaves of a match that it cuts is a match again, so each tile is the longest match that is free at its time.
     """
     marked_p, marked_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
     search = max(min_match, min(len(pattern), len(text)) // 2)
     while True:
-        longest, found = _matches(pattern, text, marked_p, marked_t, search)
-        if longest > 2 * search:
-            search = longest
+        found = _matches(pattern, text, marked_p, marked_t, search)
+        if found and -found[0][0] > 2 * search:
+            search = -found[0][0]
             continue
-        for length, p, t in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not marked_p[p : p + length].any() and not marked_t[t : t + length].any():
+        while found:
+            length, p, t = heapq.heappop(found)
+            length = -length
+            #: Tiles of this search are no shorter, so one that overlaps holds an end of the match.
+            if not (marked_p[p] or marked_t[t] or marked_p[p + length - 1] or marked_t[t + length - 1]):
                 marked_p[p : p + length] = marked_t[t : t + length] = True
                 tiles.append((p, t, length))
-        if search > min_match:
-            search = max(min_match, search // 2)
-        elif not found:
-            return tiles  # a round that finds matches marks the longest at least, and tiles may have cut others
+                continue
+            taken = np.concatenate(([True], marked_p[p : p + length] | marked_t[t : t + length], [True]))
+            edges = np.flatnonzero(taken)
+            for i in np.flatnonzero(np.diff(edges) > search).tolist():
+                heapq.heappush(found, (int(edges[i] + 1 - edges[i + 1]), p + int(edges[i]), t + int(edges[i])))
+        if search == min_match:
+            return tiles
+        search = max(min_match, search // 2)
+
+
+def _free(marked: np.ndarray, n: int) -> np.ndarray:
+    """Whether a run of n unmarked words starts at a position."""
+    if len(marked) < n:
+        return np.zeros(0, bool)
+    sums = np.concatenate(([0], np.cumsum(marked)))
+    return sums[n:] == sums[:-n]
 
 
-def _free(hashes: np.ndarray, marked: np.ndarray, n: int) -> np.ndarray:
-    """Positions where a run of n unmarked words starts."""
-    if len(hashes) < n:
-        return np.zeros(0, np.int64)
-    sums = np.concatenate(([0], np.cumsum(marked)))
-    return np.flatnonzero(sums[n:] == sums[:-n])
+_PAIRS = 1 << 20
 
 
 def _matches(pattern, text, marked_p, marked_t, n):
-    """(the longest length, maximal matches of at least n unmarked words); stops early at a length over 2 n."""
-    at_p, at_t = _free(pattern, marked_p, n), _free(text, marked_t, n)
-    if not len(at_p) or not len(at_t):
-        return 0, []
-    hash_p, hash_t = tk.grams(pattern, n)[at_p], tk.grams(text, n)[at_t]
-    both = np.isin(hash_t, hash_p)
-    if not both.any():
-        return 0, []
-    table = defaultdict(list)
-    for h, p in zip(hash_p.tolist(), at_p.tolist(), strict=True):
-        table[h].append(p)
-    longest, found, seen = 0, [], set()
-    for t, h in zip(at_t[both].tolist(), hash_t[both].tolist(), strict=True):
-        for p in table[h]:
-            if (p - 1, t - 1) in seen:
-                seen.add((p, t))
-                continue
-            k = n
-            while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and not marked_p[p + k] and not marked_t[t + k]:
-                k += 1
-            if k > 2 * n:
-                return k, found
-            seen.update((p + d, t + d) for d in range(k - n + 1))
-            longest = max(longest, k)
-            found.append((k, p, t))
-    return longest, found
+    """A heap of (-length, pattern position, text position) of the maximal matches of at least n unmarked words.
+
+    Runs of n words that agree are pairs of positions; on a diagonal, neighbouring pairs are one match, of which only
+    the first and the last pair are kept. Pairs are looked at ``_PAIRS`` or one text position's at a time.
+    """
+    free_p, free_t = _free(marked_p, n), _free(marked_t, n)
+    if not free_p.any() or not free_t.any():
+        return []
+    hash_p, hash_t = tk.grams(pattern, n), tk.grams(text, n)
+    at_p, at_t = np.flatnonzero(free_p), np.flatnonzero(free_t)
+    at_p = at_p[np.argsort(hash_p[at_p], kind="stable")]
+    known = hash_p[at_p]
+    low, high = np.searchsorted(known, hash_t[at_t]), np.searchsorted(known, hash_t[at_t], "right")
+    at_t, low, count = at_t[high > low], low[high > low], (high - low)[high > low]
+    if not len(at_t):
+        return []
+
+    def agree(p, t):
+        inside = (p >= 0) & (t >= 0) & (p < len(hash_p)) & (t < len(hash_t))
+        p, t = np.where(inside, p, 0), np.where(inside, t, 0)
+        return inside & free_p[p] & free_t[t] & (hash_p[p] == hash_t[t])
+
+    first, last, sums, a = [], [], np.concatenate(([0], np.cumsum(count))), 0
+    while a < len(at_t):
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + _PAIRS, "right")) - 1)
+        k = count[a:b]
+        t = np.repeat(at_t[a:b], k)
+        p = at_p[np.repeat(low[a:b] - (sums[a:b] - sums[a]), k) + np.arange(sums[b] - sums[a])]
+        for out, step in ((first, -1), (last, 1)):
+            edge = ~agree(p + step, t + step)
+            out.append(np.stack((t[edge] - p[edge], t[edge])))
+        a = b
+    first, last = (np.concatenate(x, 1) for x in (first, last))
+    first, last = (x[:, np.lexsort((x[1], x[0]))] for x in (first, last))
+    length = last[1] - first[1] + n
+    out = list(zip((-length).tolist(), (first[1] - first[0]).tolist(), first[1].tolist(), strict=True))
+    heapq.heapify(out)
+    return out
 
 
 def _words(batch: pa.RecordBatch):
@@ -90,7 +114,7 @@ def _words(batch: pa.RecordBatch):
         yield i, j, tk.words(data, offsets, tk.PUNCTUATION, lower=False)
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[tuple[list[int], list[np.ndarray]]]:
+def item_blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """The benchmark's word hashes in blocks of at most ``block_words`` words (an item longer than that is alone), one
     block at a time on the driver."""
     def run(it):
