@@ -8,6 +8,7 @@ selected in the same order, so the share of equal entries falls with edit distan
 
 from __future__ import annotations
 
+import copy
 import hashlib
 
 import numpy as np
@@ -99,49 +100,67 @@ def _hex(e: np.ndarray) -> str:
     return e.astype(">u4").tobytes().hex()
 
 
-_FANOUT = 64
+def _cuts(keyed: DataFrame, ranges: int, rows: int) -> list[tuple[int | None, int]]:
+    """At most ``ranges - 1`` bounds of about equal ranges of (doc_id, h), from a sample by hash of about 64 rows a range."""
+    if ranges < 2:
+        return []
+    few = keyed.where(F.expr(f"pmod(xxhash64(doc_id, h, 3), 1000000007) < {min(1.0, 64 * ranges / max(rows, 1)) * 1000000007}"))
+    found = sorted(((r.doc_id is not None, r.doc_id or 0, r.h) for r in few.select("doc_id", "h").collect()))
+    picked = {found[i * len(found) // ranges] for i in range(1, ranges)} if found else set()
+    return [(i if there else None, h) for there, i, h in sorted(picked)]
 
 
-def range_number(df: DataFrame, key: str, cuts: list[int], name: str) -> DataFrame:
-    """``df`` with the number of ``cuts`` (sorted) up to ``key``: a search tree of slices of literal arrays."""
+def _placed(keyed: DataFrame, cuts: list[tuple[int | None, int]], fanout: int = 64) -> DataFrame:
+    """``keyed`` with part: the number of bounds up to (doc_id, h), found in a tree of slices of the sorted bounds."""
+    bound = lambda c: F.struct(F.lit(c[0]).cast("long").alias("doc_id"), F.lit(c[1]).cast("long").alias("h"))
     levels = [cuts]
-    while len(levels[-1]) > _FANOUT:
-        levels.append(levels[-1][::_FANOUT])
-    df = df.withColumn(name, F.lit(1).cast("long"))
+    while len(levels[-1]) > fanout:
+        levels.append(levels[-1][::fanout])
+    out, own = keyed.withColumn("part", F.lit(0).cast("long")), F.struct("doc_id", "h")
     for k, level in enumerate(reversed(levels)):
-        array = F.array(*(F.lit(c).cast("long") for c in level)) if level else F.array().cast("array<long>")
-        part = array if k == 0 else F.slice(array, ((F.greatest(F.col(name), F.lit(1)) - 1) * _FANOUT + 1).cast("int"), F.lit(_FANOUT))
-        below = F.size(F.filter(part, lambda c: c <= F.col(key))).cast("long")
-        df = df.withColumn(name, below if k == 0 else F.when(F.col(name) == 0, F.lit(0)).otherwise((F.col(name) - 1) * _FANOUT + below))
-    return df
-
-
-def fingerprints(docs: DataFrame, k: int = 9, tuples: int = 64, width: int = 2, rows_per_range: int = 1_000) -> DataFrame:
+        if not level:
+            continue
+        every = F.array(*map(bound, level))
+        if k == 0:
+            out = out.withColumn("part", F.size(F.filter(every, lambda c: c <= own)).cast("long"))
+            continue
+        some = F.slice(every, ((F.greatest("part", F.lit(1)) - 1) * fanout + 1).cast("int"), F.lit(fanout))
+        below = F.size(F.filter(some, lambda c: c <= own))
+        out = out.withColumn("part", F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise((F.col("part") - 1) * fanout + below))
+    return out
+
+
+def fingerprints(docs: DataFrame, k: int = 9, tuples: int = 64, width: int = 2, rows_per_range: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document's, in ascending (doc_id, text); after the last comes the first. A null text is empty; null doc_ids come
-    first; repeated rows are neighbours in any order (they are equal). A sole document is its own next. Other columns
-    are ignored, an empty table gives an empty result. An empty text's signature is a constant of its own.
-
-    Texts are shuffled once, into ranges of ids: quantiles of the id column alone give the bounds, and the first row of
-    a range is also sent, as its last row's next, to the range before. Tasks stream their sorted rows.
+    document's, in ascending doc_id; after the last comes the first. A null text is empty; null doc_ids come first; rows
+    of one doc_id follow each other in the order of a hash of their texts, then of the texts, so those of equal texts are
+    neighbours. A sole document is its own next. Other columns are ignored, an empty table gives an empty result. An
+    empty text's signature is a constant of its own.
+
+    Texts are shuffled once, into ranges of (doc_id, hash of text), so that a doc_id of very many texts is dealt out too.
+    There are as many ranges as ``spark.sql.shuffle.partitions``, or one for each ``rows_per_range`` rows; the driver
+    gathers a sample of about 64 keys a range. The first row of a range is also sent, as its last row's next, to the
+    range before. Tasks stream their sorted rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    ranges = max(1, -(-docs.count() // rows_per_range))
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    keyed = range_number(keyed, "key", cuts, "part")
-    #: One row a range: at most rows / rows_per_range of them, of two numbers.
-    firsts = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).select("part", "key").collect())
-    before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    table = F.broadcast(spark.createDataFrame(before, "key long, before long"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.count()
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) if rows_per_range is None else max(1, -(-rows // rows_per_range))
+    placed = _placed(keyed, _cuts(keyed, min(ranges, max(rows, 1)), rows))
+    #: One row a range.
+    firsts = sorted((r.part, r.m.doc_id, r.m.h) for r in placed.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("m")).collect())
+    before = [(i, h, firsts[k - 1][0]) for k, (_, i, h) in enumerate(firsts)]
+    table = F.broadcast(spark.createDataFrame(before, "i long, first long, before long"))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))
     tail = F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))
-    rows = keyed.join(table, "key", "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, tail))))
-    rows = rows.select("doc_id", "key", "text", "to.part", "to.tail").repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "tail", "key", "text")
-    return rows.mapInArrow(_stream(k, tuples, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = placed.join(table, (F.col("h") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    found = found.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, tail))))
+    found = found.select("doc_id", "h", "text", "to.part", "to.tail").repartitionById(max(1, firsts[-1][0] + 1 if firsts else 1), F.col("part").cast("int"))
+    return found.sortWithinPartitions("part", "tail", "doc_id", "h", "text").mapInArrow(
+        _stream(k, tuples, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )
 
 
 def _stream(k: int, tuples: int, width: int):
@@ -155,7 +174,11 @@ def _stream(k: int, tuples: int, width: int):
                     part, held, done = p, None, False
                 if done:
                     continue
-                now = _Text(doc_id, text, k)
+                if held is not None and held.text == text:
+                    held.sign(multipliers, width)
+                    now = held.again(doc_id)
+                else:
+                    now = _Text(doc_id, text, k)
                 if held is not None:
                     out.append(_row(held, now, k, multipliers, width))
                     done = tail == 1
@@ -174,12 +197,18 @@ class _Text:
     shares it, since numbers of occurrence count from the start of the text."""
 
     def __init__(self, doc_id, text: str, k: int):
-        self.doc_id, self.k = doc_id, k
+        self.doc_id, self.text, self.k = doc_id, text, k
         self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.quarter = len(self.points) // 4
         self.same = max(0, len(self.points) - self.quarter - k + 1)
         self.signature = None
 
+    def again(self, doc_id) -> _Text:
+        """The same text of another row: its signature is shared."""
+        other = copy.copy(self)
+        other.doc_id = doc_id
+        return other
+
     def sign(self, multipliers: np.ndarray, width: int) -> np.ndarray:
         if self.signature is None:
             h = numbered_kmers(self.points, self.k)
