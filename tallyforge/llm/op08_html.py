@@ -2,10 +2,13 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies a block by its link density, length and
 stop-word density, given where it stands: menus, headers, footers, asides, forms, comments, notices and adverts, told by
-tag, role, class or id, are bad whatever they hold, and so are lists of links; headings, short blocks and blocks of few
-stop words, as of another language, tables or code, stay ambiguous. In the second pass an ambiguous block takes the label
-of its nearest decided neighbours: inside an article it is good unless both there are bad, as beyond the edge lies good
-text; elsewhere it is good if one of them is, or if no block of the page is good.
+tag, role, class or id, are bad whatever they hold. So are blocks that are mostly links, but for those that stop words
+show to be prose and for headings and paragraphs of an article; and, outside of articles, blocks of many links and few
+stop words. Long prose is good. Headings, short blocks and blocks of few stop words, as of another language, tables or
+code, stay ambiguous; on a page where no block reads as prose, stop words say nothing, and length and link density decide
+instead. In the second pass an ambiguous block takes the label of its nearest decided neighbours: inside an article it is
+good unless both there are bad, as beyond the edge lies good text; elsewhere it is good if one of them is, or if no block
+of the page is good.
 """
 
 from __future__ import annotations
@@ -39,21 +42,25 @@ STOP_WORDS = frozenset(
     "le la les de des du et un une est que qui dans pour par sur pas au aux ne ce se avec plus son sont il elle "
     "el los las del y en una por con no su para al lo como más pero sus este entre ha".split()
 )
-SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.30, 0.32, 0.5
+SHORT, LONG, LOW, HIGH, SOME_LINKS, LINKS = 70, 200, 0.30, 0.32, 0.2, 0.5
+#: Parts of a class or id that come after the word that it means, and those that turn or only mention it.
+TRAILING = frozenset("left right top bottom inner outer wrap wrapper container box block area section bar list item items content body text main group row col column panel widget link links button icon holder slot unit zone module label title head".split())
+TURNING = frozenset("no not non without has have with free is hide hidden show after before under below".split())
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, UNSURE = "good", "bad", "unsure"
 
 
 class Block:
-    __slots__ = ("text", "links", "heading", "article", "bad", "label")
+    __slots__ = ("text", "links", "heading", "paragraph", "article", "bad", "label")
 
-    def __init__(self, text: str, links: int, heading: bool, article: int, bad: bool):
-        self.text, self.links, self.heading, self.article, self.bad, self.label = text, links, heading, article, bad, None
+    def __init__(self, text: str, links: int, heading: bool, paragraph: bool, article: int, bad: bool):
+        self.text, self.links, self.heading, self.paragraph, self.article, self.bad, self.label = text, links, heading, paragraph, article, bad, None
 
 
 def _tag_end(page: str, at: int, missing: set[str]) -> int:
@@ -73,13 +80,26 @@ def _tag_end(page: str, at: int, missing: set[str]) -> int:
             i = end + 1
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _means(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of the marks: as a whole, or as the word that a compound's other parts
+    describe (``site-footer``, ``sidebar-left``), but not where it is turned (``no-sidebar``)."""
+    parts = [p for p in _SPLIT.split(_CAMEL.sub("-", name).lower()) if p]
+    if TURNING.intersection(parts):
+        return False
+    while len(parts) > 1 and (parts[-1] in TRAILING and parts[-1] not in marks or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in marks
+
+
+def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
     for key, *values in _ATTR.findall(attributes):
-        key, value = key.lower(), next((v for v in values if v), "").lower()
+        key, raw = key.lower(), next((v for v in values if v), "")
+        value = raw.lower()
         if key in ("class", "id", "role"):
-            parts = [p for p in _SPLIT.split(value) if p]
-            if MARKS.intersection(parts) or "ad" in parts:
+            if any(_means(x, marks) for x in raw.split()):
                 return True
+        elif marks is not MARKS:
+            continue
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -102,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append(Block(text, min(links, len(text)), heading, article, bad))
+                out.append(Block(text, min(links, len(text)), heading, any(x[0] == "p" for x in stack[-4:]), article, bad))
             texts.clear()
         links = 0
 
@@ -174,7 +194,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                     restore()
         worse = bad
-        if name in ("article", "main") and not _comment(attributes):
+        if (name in ("article", "main") or name in ("div", "section") and _MAIN.search(attributes)) and not _marked(attributes, _COMMENTS):
             if not article:
                 articles += 1
                 article, worse = articles, False
@@ -182,7 +202,7 @@ def blocks(page: str) -> list[Block]:
                 #: An article inside an article is a comment on it or a teaser; one inside main is the main text.
                 worse = True
             inside = inside or name == "article"
-        elif name in OUTSIDE or name == "header" and not article or name == "article" or name not in ("html", "body") and _marked(name, attributes):
+        elif name in OUTSIDE or name == "header" and not article or name == "article" or name not in ("html", "body") and _marked(attributes):
             worse = True
         if worse != bad and name not in BLOCK:
             flush()
@@ -194,23 +214,45 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _comment(attributes: str) -> bool:
-    return any(k.lower() in ("class", "id", "role") and {"comment", "comments", "reply", "replies"}.intersection(_SPLIT.split("".join(v).lower())) for k, *v in _ATTR.findall(attributes))
+_COMMENTS = frozenset({"comment", "comments", "reply", "replies"})
+_MAIN = re.compile(r"""role\s*=\s*["']?(?:main|article)\b|itemprop\s*=\s*["']?articleBody\b""", re.I)
+
+
+def _density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _size(text: str) -> int:
+    """Characters, where one of a script without spaces counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 def _first_pass(b: Block, somewhere: bool) -> str:
     """``somewhere``: the page has an article, and what stands outside it isn't main text."""
     if b.bad or somewhere and not b.article:
         return BAD
-    if b.links > LINKS * len(b.text):
-        return BAD
-    if len(b.text) < SHORT or b.heading:
+    size, links = _size(b.text), b.links / len(b.text)
+    if links <= LINKS and (b.heading or size < SHORT):
         return UNSURE
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if density >= HIGH and len(b.text) > LONG or b.article and density >= LOW:
+    density = _density(b.text)
+    if links > LINKS:
+        if size >= SHORT and density >= HIGH:
+            return GOOD if b.article else UNSURE
+        return UNSURE if b.article and (b.heading or b.paragraph) else BAD
+    if density >= HIGH and size > LONG or b.article and density >= LOW:
         return GOOD
-    return UNSURE
+    return BAD if links > SOME_LINKS and density < LOW and not b.article else UNSURE
+
+
+def _by_length(found: list[Block]) -> None:
+    """Labels of a page without any prose that stop words tell: long blocks of few links are good."""
+    for b in found:
+        if b.label == UNSURE and not b.heading and _size(b.text) > LONG and b.links <= SOME_LINKS * len(b.text):
+            b.label = GOOD
 
 
 def main_text(page: str) -> str:
@@ -219,6 +261,8 @@ def main_text(page: str) -> str:
     somewhere = any(b.article for b in found)
     for b in found:
         b.label = _first_pass(b, somewhere)
+    if not any(b.label == GOOD for b in found):
+        _by_length(found)
     good = any(b.label == GOOD for b in found)
     before: list[int] = []
     last = -1
