@@ -205,7 +205,7 @@ def _open_groups(percent: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 1024, group_tokens: int = 1_000_000, queries_per_task: int = 4096, buckets: int = 1 << 20) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, group_size: int = 1024, group_tokens: int = 1_000_000, queries_per_task: int = 512, buckets: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id long, text string).
 
     Words are maximal runs of bytes other than ASCII white space, A-Z folded. A null, empty or blank text has the empty
