@@ -100,10 +100,27 @@ def _(spark, d):
     return y.select(F.col("SKU").cast("long").alias("p_partkey"), F.col("`Вес, кг (ед.)`").alias("unit"), F.col("`Вес, кг`").alias("total"), F.col("`Объем, кг`").alias("kg"), F.col("Год").alias("year"))
 
 
-@query("x14_family_title", f"WITH {CUBE} SELECT DISTINCT art AS article, sku AS title FROM cube")
+@query("g4_extract_weight", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 0.5 WHEN 1 THEN 0.01 WHEN 2 THEN 1.5 WHEN 3 THEN 0.175 WHEN 4 THEN 0.6 WHEN 5 THEN 0.25 WHEN 6 THEN NULL ELSE 0.5 END::DOUBLE AS unit,
+ round(CASE p_partkey % 8 WHEN 0 THEN 0.5 * (p_size + 1) WHEN 1 THEN 0.01 * (p_size + 1) WHEN 2 THEN 1.5 * (p_size + 1) WHEN 3 THEN 0.175 * (p_size + 1) WHEN 4 THEN 0.6 * (p_size + 1) WHEN 5 THEN 0.25 WHEN 6 THEN NULL ELSE 0.5 * 2 + 0.25 * 3 END::DOUBLE, 6) AS total FROM part""")
+def _(spark, d):
+    shapes = ["n || 'x500 г'", "'10 mg, 10 г*' || n || ' шт'", "n || ' по 1,5 л'", "n || ' шт. - 175 грамм'", "'600 мл, комплект: ' || n || ' упаковок'", "'250 миллилитров, 100млн'", "'из ' || n || ' штук'", "'2x500 г и 250 мл × 3'"]
+    title = F.expr("element_at(array(" + ", ".join(f"p_name || ', ' || {x}" for x in shapes) + "), cast(p_partkey % 8 + 1 as int))")
+    x = table(spark, d, "part").withColumn("n", (F.col("p_size") + 1).cast("string")).select("p_partkey", w.title_weights(title).alias("w"))
+    return x.select(F.col("p_partkey"), F.col("w.unit").alias("unit"), F.round("w.total", 6).alias("total"))
+
+
+@query("g5_sanitize", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1.74 WHEN 1 THEN 0.5 WHEN 4 THEN 2.5 WHEN 5 THEN 1.5 END::DOUBLE AS unit, p_partkey % 6 <> 4 AS odd,
+ ['fixed_liters_174-> 1.74', 'fixed_long_ml_1000500-> 0.5kg', 'too_big>40.0kg_no_fix', 'empty_or_bad', 'ok', 'fixed_long_ml_2001500-> 1.5kg'][p_partkey % 6 + 1] AS why FROM part""")
+def _(spark, d):
+    title = F.expr("p_name || element_at(array(' 174л', ' 1000500 мл', ' 41 кг', ' 41', ' 2,5 кг', ' 2001500ml'), cast(p_partkey % 6 + 1 as int))")
+    return table(spark, d, "part").select("p_partkey", w.title_weights(title).alias("w")).select("p_partkey", "w.unit", "w.odd", "w.why")
+
+
+@query("x14_family_title", f"WITH {CUBE} SELECT DISTINCT art AS article, CASE CAST(art AS BIGINT) % 5 WHEN 3 THEN 'Big Widgets' WHEN 4 THEN sku || ' 5% off' ELSE sku END AS title FROM cube")
 def _(spark, d):
     x = cube(spark, d).select("Артикул", "SKU").distinct()
-    title = w.family_title_column(F.concat(F.col("SKU"), F.lit(", 500 мл, 6 шт")), F.lit("acme"), F.lit("widgets"))
+    shapes = ["SKU || ', 500 мл, 6 шт'", "'набор: 3 штуки ' || SKU || ' - 1,5 кг'", "'Acme-Pro, ' || SKU || ' — ACME PRO 12 штук'", "'Widgets, big, extra virgin, 20 шт'", "SKU || ' 5% off, 2 л'"]
+    title = w.family_title_column(F.expr("element_at(array(" + ", ".join(shapes) + "), cast(cast(`Артикул` as long) % 5 as int) + 1)"), F.lit("acme pro"), F.lit("Big Widgets"))
     return x.select(F.col("Артикул").alias("article"), title.alias("title"))
 
 
