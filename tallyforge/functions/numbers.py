@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBER = r"^[ \t\n\r]*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?[ \t\n\r]*$"
@@ -16,7 +18,25 @@ def _double(text: Column) -> Column:
 
 def num(c: Column) -> Column:
     """A number with a decimal comma or point and with spaces or no-break spaces between digits."""
-    return _double(F.replace(F.regexp_replace(c.cast("string"), "[\\u00A0 ]", ""), F.lit(","), F.lit(".")))
+    return _double(F.translate(c.cast("string"), ",\u00a0 ", "."))
+
+
+#: What a typed twin of a text column is called: its numbers, parsed once when rows are loaded.
+TYPED = "__num:"
+_NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """The numbers of a column: those of its typed twin, the column itself if it holds numbers, else parsed text."""
+    if TYPED + name in df.columns:
+        return F.col(f"`{TYPED}{name}`")
+    kind = next(t for c, t in df.dtypes if c == name)
+    return F.col(f"`{name}`").cast("double") if kind.startswith(_NUMERIC) else num(F.col(f"`{name}`"))
+
+
+def with_numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with a typed twin of each of the text columns that are there."""
+    return df.withColumns({TYPED + n: num(F.col(f"`{n}`")) for n in names if dict(df.dtypes).get(n) == "string" and TYPED + n not in df.columns})
 
 
 def num_or_zero(c: Column) -> Column:
@@ -62,8 +82,20 @@ def safe_div(a: Column, b: Column, default: float | None = None) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """A sum that doesn't depend on the order of rows: added as decimals of six places, given as double."""
-    return F.sum(c.cast(MONEY)).cast("double")
+    """A sum that doesn't depend on the order of rows: of numbers of six places, given as double; NULL of none.
+
+    Whole parts, in two halves so that no sum of less than 2^31 rows can overflow, and millionths are summed as longs,
+    which stay in generated code. Numbers beyond the range of longs, and no numbers, are summed as doubles.
+    """
+    x = c.cast("double")
+    fits = F.abs(x) < F.lit(9.2e18)
+    whole = F.when(fits, F.floor(x))
+    millionths = F.when(fits, F.floor((x - F.floor(x).cast("double")) * 1e6 + 0.5))
+    high, low, small = F.sum(F.shiftright(whole, 32)), F.sum(whole.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(millionths)
+    units = high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    exact = (units.cast("decimal(31,0)") + (small.cast("decimal(20,0)") * F.expr("0.000001BD")).cast("decimal(26,6)")).cast("double")
+    rest = F.sum(F.when(~fits, x))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def pair_weight(a: Column, b: Column) -> Column:

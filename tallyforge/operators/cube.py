@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge import storage
-from tallyforge.functions.numbers import num
-from tallyforge.schema import METADATA, SALES, SLICE_KEY, VOLUME, first_of, q
+from tallyforge.functions.numbers import number_of, with_numbers
+from tallyforge.schema import METADATA, REVENUE, SALES, SLICE_KEY, VOLUME, first_of, q
 
 MIN_SALES = 15.0
+#: Columns that get a typed twin when they are loaded.
+NUMBERS = (*SALES, *REVENUE, *VOLUME)
 HEAVY_SLICE, HEAVY_CATEGORY = 250_000, 1_000_000
 
 
@@ -43,20 +45,20 @@ def positive_rows(df: DataFrame) -> DataFrame:
     """Rows with sales and volume above zero, of the columns that are there; text that is no number drops the row."""
     for c in (first_of(df.columns, SALES), first_of(df.columns, VOLUME)):
         if c:
-            df = df.where(num(F.col(q(c))) > 0)
+            df = df.where(number_of(df, c) > 0)
     return df
 
 
 def min_sales(df: DataFrame, least: float = MIN_SALES) -> DataFrame:
     c = first_of(df.columns, SALES)
-    return df.where(num(F.col(q(c))) >= least) if c else df
+    return df.where(number_of(df, c) >= least) if c else df
 
 
 def sales_quantile(df: DataFrame, quantile: float | None, least: float = MIN_SALES, by: Sequence[str] = ()) -> DataFrame:
     """Rows of at least the quantile of positive sales (linear between ranks), in each group, and of ``least``. The
     quantile is an aggregate that is joined back, so no group is gathered."""
     c = first_of(df.columns, SALES)
-    rows = df.withColumn("_sales", num(F.col(q(c)))).where("_sales > 0")
+    rows = df.withColumn("_sales", number_of(df, c)).where("_sales > 0")
     if quantile is None:
         return rows.where(F.col("_sales") >= least).drop("_sales")
     if not 0 <= quantile < 1:
@@ -148,7 +150,7 @@ class Cube:
         stage = min_sales(positive_rows(source), least_sales)
         keys = dict(zip(SLICE_KEY, (F.lit(s.project), F.lit(s.year), F.lit(s.month), F.lit(s.marketplace), F.lit(s.category_key)), strict=True))
         stage = with_hashes(stage.withColumns(keys), columns).dropDuplicates(["__row_hash"])
-        stage = stage.withColumns({"__run_id": F.lit(run_id), "__source_file": F.lit(source_file), "__imported_at": F.current_timestamp(), "__source_type": F.lit(s.source_type)})
+        stage = with_numbers(stage, NUMBERS).withColumns({"__run_id": F.lit(run_id), "__source_file": F.lit(source_file), "__imported_at": F.current_timestamp(), "__source_type": F.lit(s.source_type)})
         cube = self.rows()
         kept = cube.where(month & (F.col("__category_key") == s.category_key)) if cube is not None and not overwrite else None
         if kept is not None:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numbers import exact_sum, num, safe_div
+from tallyforge.functions.numbers import exact_sum, num, number_of, safe_div
 from tallyforge.functions.text import dimension
 from tallyforge.schema import CLASS_DIMENSIONS, NOT_FILLED, REVENUE, SALES, VOLUME_KG, VOLUME_T, first_of, need, q, require_metadata
 
@@ -78,6 +78,12 @@ def volume_kg(columns: Sequence[str]) -> Column:
     return F.lit(0.0)
 
 
+def _volume(df: DataFrame) -> Column:
+    """As ``volume_kg``, of typed columns where there are any."""
+    c = first_of(df.columns, VOLUME_KG)
+    return F.coalesce(number_of(df, c), F.lit(0.0)) if c else volume_kg(df.columns)
+
+
 def _dimensions(df: DataFrame, kind: str) -> dict[str, Column]:
     have = lambda c: F.col(q(c)) if c in df.columns else None
     out = {
@@ -100,10 +106,10 @@ def _dimensions(df: DataFrame, kind: str) -> dict[str, Column]:
 def metrics(df: DataFrame) -> dict[str, Column]:
     """The report's aggregates, by name."""
     sku = F.nullif(F.trim(F.col(q(first_of(df.columns, ("SKU", "Название", "Артикул")) or "__row_hash")).cast("string")), F.lit(""))
-    sales = exact_sum(F.coalesce(num(F.col(q(need(df.columns, SALES)))), F.lit(0.0)))
+    sales = exact_sum(F.coalesce(number_of(df, need(df.columns, SALES)), F.lit(0.0)))
     revenue = first_of(df.columns, REVENUE)
-    money = exact_sum(F.coalesce(num(F.col(q(revenue))), F.lit(0.0))) if revenue else F.lit(0.0)
-    kg = exact_sum(volume_kg(df.columns))
+    money = exact_sum(F.coalesce(number_of(df, revenue), F.lit(0.0))) if revenue else F.lit(0.0)
+    kg = exact_sum(_volume(df))
     values = (F.count(F.lit(1)), F.countDistinct(sku), sales, money, kg, safe_div(money, sales), safe_div(money, kg))
     return dict(zip(METRICS, values, strict=True))
 

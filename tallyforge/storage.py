@@ -33,6 +33,12 @@ def exists(spark: SparkSession, name: str) -> bool:
     return store.exists(path)
 
 
+def stamp(spark: SparkSession, name: str) -> str:
+    """Size and time of a file or folder, which change when it is written again."""
+    path, store = _path(spark, name)
+    return f"{store.getContentSummary(path).getLength()}@{store.getFileStatus(path).getModificationTime()}"
+
+
 def delete(spark: SparkSession, name: str) -> None:
     path, store = _path(spark, name)
     store.delete(path, True)
