@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import num_or_zero
 from tallyforge.functions.weights import dayfirst_date
+from tallyforge.operators import rules
 from tallyforge.operators.cube import sales_quantile
 from tallyforge.schema import CANON, SALES, need, q
 
@@ -156,6 +158,29 @@ def postprocessed(df: DataFrame) -> DataFrame:
     return out.select(*(F.col(q(c)).alias({"SKU": "Артикул", "Название": "SKU"}.get(c, c)) for c in out.columns))
 
 
+@dataclass(frozen=True)
+class Classified:
+    """The classified rows; rows written by each rule; which columns went and which changed their names."""
+
+    rows: DataFrame
+    report: DataFrame
+    dropped: tuple[str, ...]
+    renamed: dict[str, str]
+
+
+def classify(df: DataFrame, rule_rows: Iterable[Mapping[str, object]], fill: Mapping[str, str] | None = None, overrides: Iterable[Mapping[str, object]] = (), slice_category: str | None = None, category: str = "Категория") -> Classified:
+    """A parsed report through rules, cleaning and manual overrides, in that order. ``slice_category`` leaves out rules
+    that can't reach rows of that category."""
+    ready = prepared_for_rules(df)
+    compiled = rules.compiled(rule_rows)
+    done = rules.apply(ready, compiled, category, fill, slice_category, report=True)
+    rows = postprocessed(done.drop("_applied", "_matched"))
+    overrides = list(overrides)
+    gone = tuple(c for c in SERVICE if c in ready.columns)
+    renamed = {a: b for a, b in (("SKU", "Артикул"), ("Название", "SKU")) if a in ready.columns}
+    return Classified(rules.override(rows, overrides) if overrides else rows, rules.rule_report(done, compiled), gone, renamed)
+
+
 def weight_names(df: DataFrame) -> DataFrame:
     """Old names of the weight columns as the new ones."""
     if "Вес, кг (сумм.)" not in df.columns:

@@ -99,6 +99,33 @@ def typed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*(cast(c).alias(c) for c in df.columns))
 
 
+#: Columns that a search of grouped products reads.
+GROUPED_SEARCHED = ("normalized_sku", "canonical_sku", "sku", "brand", "article", "category_name", "marketplace")
+
+
+def grouped_products(rows: DataFrame, project: str, category: str | None = None, groups: DataFrame | None = None, level: str = "all", text: str | None = None) -> DataFrame:
+    """Grouped products of a project by category, level and a text in any case in any of seven columns.
+
+    ``groups``: group_key, source_key of categories that are grouped together. A group's key also finds its sources'
+    rows; a source's key finds its own rows and its group's. ``level``: ``canonical`` for canonical rows alone.
+    """
+    out = rows.where(F.col("project_name") == project)
+    if category is not None and category.strip():
+        key = category.strip()
+        wanted = rows.sparkSession.createDataFrame([(key,)], "category_key string")
+        if groups is not None:
+            wanted = wanted.union(groups.where(F.col("group_key") == key).select("source_key")).union(groups.where(F.col("source_key") == key).select("group_key"))
+        out = out.join(wanted.distinct(), "category_key", "left_semi")
+    if level == "canonical":
+        out = out.where("row_level = 'canonical'")
+    if text and text.strip():
+        needle, found = F.lit(text.strip().casefold()), F.lit(False)
+        for c in GROUPED_SEARCHED:
+            found = found | F.coalesce(F.lower(F.col(q(c)).cast("string")).contains(needle), F.lit(False))
+        out = out.where(found)
+    return out
+
+
 def with_groups(cube: DataFrame, groups: DataFrame, enabled: bool = True) -> DataFrame:
     """The cube with its identity columns; rows stay as many as they are.
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyforge.functions.numbers import close, exact_sum, multipack, positive
+from tallyforge import storage
 from tallyforge.functions.text import clean, is_empty, labelled, norm
+from tallyforge.functions.weights import family_title_column
 from tallyforge.operators.graph import communities, components, positive_edges, with_singletons
 from tallyforge.storage import Scratch
 
@@ -278,6 +283,50 @@ def grouped(nodes_: DataFrame, parts: DataFrame, edges: DataFrame, previous: Dat
     )
 
 
+def regrouped(scratch: Scratch, nodes_: DataFrame, scored_pairs: DataFrame, threshold: float, method: str = "leiden", gamma: float = RESOLUTION, previous: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
+    """Families and packs from stored scores alone: neither texts nor vectors are read again. ``scored_pairs``:
+    node_id_a, node_id_b, score; ``previous`` and ``manual`` as in ``grouped``."""
+    edges = scratch.keep(scored_pairs.withColumn("predicted", F.coalesce(F.col("score") >= threshold, F.lit(False))), "scored")
+    positive_ = edges.where("predicted").select(F.col("node_id_a").alias("a"), F.col("node_id_b").alias("b"), F.col("score").alias("weight"))
+    before = previous.select(F.col("node_id").alias("node"), F.col("ml_family_id").alias("family")) if previous is not None else None
+    alone = manual.select(F.col("node_id").alias("node")) if manual is not None else None
+    return grouped(nodes_, family_parts(scratch, nodes_, positive_, method, gamma, before, alone), edges, previous, manual)
+
+
+def family_titles(candidates: DataFrame) -> DataFrame:
+    """family, title: the family title of its first candidate by revenue, sales, members and name, NULL if that is empty.
+    ``candidates``: family, canonical_sku, brand, category_name, revenue, sales_volume, source_count."""
+    order = F.struct(*((-F.coalesce(c, F.lit(float("-inf")))).alias(n) for n, c in (("r", F.col("revenue").cast("double")), ("s", F.col("sales_volume").cast("double")), ("c", F.col("source_count").cast("double")))), F.col("canonical_sku").isNull().alias("n"), F.col("canonical_sku").alias("k"))
+    first = candidates.groupBy("family").agg(F.min(F.struct(order.alias("o"), F.struct("brand", "category_name").alias("x"))).alias("m"))
+    return first.select("family", F.nullif(family_title_column(F.col("m.o.k"), F.col("m.x.brand"), F.col("m.x.category_name")), F.lit("")).alias("title"))
+
+
+def snapshot(spark: SparkSession, folder: str, rows: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str) -> tuple[DataFrame, bool]:
+    """(vectors of ``rows``, whether they were there already). ``rows``: node, text. The snapshot is named by the model and
+    by all nodes with their texts, and counts if its manifest agrees with its rows; else it is made again.
+
+    The fingerprint is an order-free sum over hashes, so no sort is needed; a snapshot is moved into place whole.
+    """
+    h = F.sha2(F.concat_ws("\u0001", F.col("node").cast("string"), F.col("text")), 256)
+    part = lambda k: F.coalesce(F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")).alias(f"h{k}")
+    mark = rows.agg(F.count(F.lit(1)).alias("n"), *(part(k) for k in range(4))).first()
+    name = f"{folder.rstrip('/')}/{hashlib.sha256('|'.join([model, *map(str, mark)]).encode()).hexdigest()[:32]}"
+    wanted = {"model": model, "rows": mark["n"]}
+    if storage.exists(spark, f"{name}/manifest.json"):
+        try:
+            kept = spark.read.parquet(f"{name}/vectors")
+            if json.loads(storage.read_text(spark, f"{name}/manifest.json")) == wanted and kept.count() == mark["n"]:
+                return kept, True
+        except Exception:  # noqa: BLE001  a damaged snapshot, in whichever way, is made again
+            pass
+    stage = f"{name}.stage-{uuid.uuid4().hex}"
+    embed(rows).select("node", "vector").write.parquet(f"{stage}/vectors")
+    storage.write_text(spark, f"{stage}/manifest.json", json.dumps(wanted))
+    storage.delete(spark, name)
+    storage.move(spark, stage, name)
+    return spark.read.parquet(f"{name}/vectors"), False
+
+
 def canonical_rows(members: DataFrame) -> DataFrame:
     """One row for each (family, pack, canonical): smallest attributes, summed metrics, members, status."""
     status = F.when(F.bool_or(F.col("status") == "manual_singleton"), "manual_singleton").when(F.count(F.lit(1)) > 1, "auto_grouped").otherwise(F.min("status"))

@@ -124,6 +124,17 @@ def summary(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(score).alias("low"), F.max(score).alias("high"))
 
 
+def filtered(df: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows whose column passes a catalog's filter; an empty filter passes all."""
+    model = filter_model(text)
+    if model is None:
+        return df
+    x = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    found = [x.contains(c["filter"].lower()) if c["type"] == "contains" else ~x.contains(c["filter"].lower()) for c in model.get("conditions", [model])]
+    both = found[0] if len(found) == 1 else found[0] & found[1] if model["operator"] == "AND" else found[0] | found[1]
+    return df.where(both)
+
+
 def filter_model(text: str) -> dict | None:
     """A catalog's filter: one or two quoted terms joined by ``&`` or ``|``, each with NOT before it or not."""
     text = text.strip()

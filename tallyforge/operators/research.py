@@ -15,6 +15,9 @@ from tallyforge.schema import q
 from tallyforge.storage import Scratch
 
 FALSE_MERGE, FALSE_SPLIT = 5.0, 1.0
+# Labels of pairs by whether the products are the same but for their packs, and words for yes and no.
+SAME, DIFFERENT = ("exact_duplicate", "same_product_different_pack"), ("different_product",)
+YES, NO = ("1", "true", "t", "yes", "y", "same", "same_base_product", "exact_duplicate"), ("0", "false", "f", "no", "n", "different", "different_product")
 DIFFERENT_BELOW, DUPLICATE_FROM = 0.55, 0.82
 
 
@@ -39,21 +42,125 @@ def title_pairs(records: DataFrame, most_in_block: int = 80) -> DataFrame:
     return rows.join(rows.toDF("key", "other"), "key").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """The larger of the tokens' Jaccard and of a blend of containment and character similarity, to six places. The
-    character part is the longest-common-blocks ratio, in an Arrow UDF."""
+def char_ratio(a: Column, b: Column) -> Column:
+    """The longest-common-blocks ratio of two normalised titles, in an Arrow UDF, once for each distinct pair of a batch."""
     from pyspark.sql.functions import pandas_udf
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, u or "", v or "").ratio() for u, v in zip(x, y, strict=True)])
+        known: dict[tuple, float] = {}
+        return pd.Series([known[p] if (p := (u or "", v or "")) in known else known.setdefault(p, SequenceMatcher(None, *p).ratio()) for u, v in zip(x, y, strict=True)], dtype=float)
 
     from tallyforge.functions.text import title
 
+    return pandas_udf(ratio, "double")(title(a), title(b))
+
+
+def _similarity(a: Column, b: Column, ratio: Column) -> Column:
     s, t = meaningful_tokens(a), meaningful_tokens(b)
-    blend = F.lit(0.65) * containment(s, t) + F.lit(0.35) * pandas_udf(ratio, "double")(title(a), title(b))
-    return F.round(F.greatest(jaccard(s, t), blend), 6)
+    return F.round(F.greatest(jaccard(s, t), F.lit(0.65) * containment(s, t) + F.lit(0.35) * ratio), 6)
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    """The larger of the tokens' Jaccard and of a blend of containment and character similarity, to six places."""
+    return _similarity(a, b, char_ratio(a, b))
+
+
+def rule_score(pairs: DataFrame, a: str = "title_a", b: str = "title_b", name: str = "score") -> DataFrame:
+    """The score of the matcher by rules: the larger of the character ratio and the title similarity; 0 without titles."""
+    from tallyforge.functions.text import title
+
+    rows = pairs.withColumn("_c", char_ratio(F.col(a), F.col(b)))
+    some = (F.coalesce(title(F.col(a)), F.lit("")) != "") & (F.coalesce(title(F.col(b)), F.lit("")) != "")
+    return rows.withColumn(name, F.when(some, F.round(F.greatest(F.col("_c"), _similarity(F.col(a), F.col(b), F.col("_c"))), 6)).otherwise(F.lit(0.0))).drop("_c")
+
+
+def lexical_candidates(records: DataFrame, least: float = 0.46, least_shared: int = 1, title_block: int = 80, token_block: int = 120) -> DataFrame:
+    """(a, b, shared, similarity) of records that share a title or a meaningful token and are similar enough. Equal titles
+    count as ``least_shared`` tokens more. ``dropped_blocks`` tells which titles and tokens were too frequent to pair up."""
+    shared = token_pairs(records, token_block).union(title_pairs(records, title_block).withColumn("shared", F.lit(max(1, least_shared)).cast("long")))
+    pairs = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least_shared)
+    titles = records.select("id", "title")
+    both = pairs.join(titles.toDF("a", "_ta"), "a").join(titles.toDF("b", "_tb"), "b")
+    return both.withColumn("similarity", title_similarity(F.col("_ta"), F.col("_tb"))).where(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
+
+
+def dropped_blocks(records: DataFrame, title_block: int = 80, token_block: int = 120) -> DataFrame:
+    """kind, value, records of the titles and tokens that ``lexical_candidates`` passes over."""
+    titles = records.select(F.lit("title").alias("kind"), norm(F.col("title")).alias("value")).where("value <> ''")
+    tokens = records.select(F.lit("token").alias("kind"), F.explode(meaningful_tokens(F.col("title"))).alias("value"))
+    return titles.union(tokens).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > F.when(F.col("kind") == "title", title_block).otherwise(token_block))
+
+
+# Sources of candidates in their order, and how many pairs each extra source may add.
+SOURCES = ("faiss_embedding_topk", "supplemental_lexical_overlap", "supplemental_same_brand_pack", "supplemental_cross_marketplace_random", "supplemental_random_control")
+BUDGETS = dict(zip(SOURCES[1:], (8_000, 6_000, 3_000, 3_000), strict=True))
+_SIDES = ("marketplace_a", "sku_a", "marketplace_b", "sku_b")
+
+
+def ordered_candidates(pairs: DataFrame, most: int | None = None, score: str = "baseline_similarity_score", shared: str = "shared_title_tokens_count") -> DataFrame:
+    """Candidates by score, shared tokens and sides; the first ``most`` of them."""
+    rows = pairs.orderBy(F.desc(score), F.desc(shared), *_SIDES)
+    return rows if most is None else rows.limit(most)
+
+
+def capped_candidates(pairs: DataFrame, most: int | None, score: str = "embedding_similarity_score", rank: str = "candidate_rank") -> DataFrame:
+    """Candidates by source, score, rank and sides. Of more than ``most`` a third at most comes from the extra sources,
+    and the rest from the first."""
+    source = F.coalesce(F.array_position(F.array(*map(F.lit, SOURCES)), F.col("candidate_source")), F.lit(0))
+    place = F.when(source == 0, 99).otherwise(source - 1)
+    order = [place.asc(), F.desc(score), F.col(rank), *(F.col(c) for c in _SIDES)]
+    if most is None:
+        return pairs.orderBy(*order)
+    first = F.col("candidate_source") == SOURCES[0]
+    counts = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(~first).alias("more")).first()
+    if counts["n"] <= most:
+        return pairs.orderBy(*order)
+    more = min(counts["more"], most // 3)
+    #: Two bounded sorts; neither source is numbered as a whole.
+    return pairs.where(first).orderBy(*order).limit(most - more).union(pairs.where(~first).orderBy(*order).limit(more)).orderBy(*order)
+
+
+def supplemental(records: DataFrame, known: DataFrame, budgets: Mapping[str, int] = BUDGETS, least: float = 0.46, seed: int = 42, buckets: int = 256, reach: int = 3) -> DataFrame:
+    """(a, b, candidate_source) of pairs that no earlier source has: similar titles, the most similar first; the same
+    brand and pack; different marketplaces; any two. All but the first are neighbours, up to ``reach`` apart, in the
+    order of a seeded hash, within a brand or a bucket of the hash, so a source never pairs all with all.
+
+    ``records``: id, title, brand, marketplace, unit_amount, total_amount, multipack_count; ``known``: a, b.
+    """
+    from tallyforge.operators.identity import same_pack
+
+    scratch = Scratch(records.sparkSession, "supplemental")
+    pack = ("unit_amount", "total_amount", "multipack_count")
+    rows = records.withColumns({"_o": F.xxhash64("id", F.lit(seed)), "_brand": norm(F.col("brand"))}).withColumn("_bucket", F.pmod("_o", F.lit(buckets)).cast("string"))
+
+    def neighbours(df: DataFrame, within: str) -> DataFrame:
+        w = Window.partitionBy(within).orderBy("_o", "id")
+        side = F.struct("id", "_brand", "marketplace", *pack)
+        sides = df.withColumn("_next", F.array_compact(F.array(*(F.lead(side, k).over(w) for k in range(1, reach + 1)))))
+        return sides.withColumn("y", F.explode("_next")).select(side.alias("x"), "y")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a <> b").distinct()
+
+    brand = neighbours(rows.where("_brand <> ''"), "_brand").where(same_pack(*(F.col(f"{s}.{c}") for c in pack for s in ("x", "y"))))
+    every = neighbours(rows, "_bucket")
+    sources = {
+        SOURCES[1]: lexical_candidates(records, least).withColumn("_k", -F.col("similarity")),
+        SOURCES[2]: named(brand).withColumn("_k", F.xxhash64("a", "b", F.lit(seed))),
+        SOURCES[3]: named(every.where("not (x.marketplace <=> y.marketplace)")).withColumn("_k", F.xxhash64("a", "b", F.lit(seed + 1))),
+        SOURCES[4]: named(every).withColumn("_k", F.xxhash64("a", "b", F.lit(seed + 2))),
+    }
+    taken, out = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None
+    for name, pairs in sources.items():
+        if budgets.get(name, 0) <= 0:
+            continue
+        new = pairs.join(taken, ["a", "b"], "left_anti").orderBy("_k", "a", "b").limit(budgets[name])
+        new = scratch.keep(new.select("a", "b", F.lit(name).alias("candidate_source")), name)
+        taken = taken.union(new.select("a", "b"))
+        out = new if out is None else out.union(new)
+    return out
 
 
 def pair_flags(pairs: DataFrame) -> DataFrame:
@@ -128,6 +235,16 @@ def frozen(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # Calibration
 
 
+def labelled(df: DataFrame, score: str = "score", label: str = "label", target: str = "same_base_product") -> DataFrame:
+    """Rows with a number as score and a target of 0 or 1; the target is its own column, else read from the label."""
+    if score not in df.columns or target not in df.columns and label not in df.columns:
+        raise ValueError(f"there is no column {score!r}, {target!r} or {label!r}")
+    word = F.trim(F.col(target if target in df.columns else label).cast("string"))
+    word, yes, no = (F.regexp_replace(F.lower(word), r"^([01])\.0+$", "$1"), YES, NO) if target in df.columns else (word, SAME, DIFFERENT)
+    rows = df.withColumns({target: F.when(word.isin(*yes), 1).when(word.isin(*no), 0), "score": F.nanvl(F.col(score).try_cast("double"), F.lit(None).cast("double"))})
+    return rows.where(F.col("score").isNotNull() & F.col(target).isNotNull())
+
+
 def binary_metrics(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """tp, fp, tn, fn, precision, recall, f1, accuracy and cost of ``predicted`` against ``target`` (booleans)."""
     one = F.lit(1.0) if weight is None else weight
@@ -149,6 +266,22 @@ def with_rates(df: DataFrame) -> DataFrame:
     )
 
 
+def link_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Metrics of predicted links against true ones, with the weights of false and missed links, and how they changed
+    from ``baseline`` if that is there. ``df``: target, predicted (booleans), pair_weight (1 where missing)."""
+    y, p = F.coalesce("target", F.lit(False)), F.coalesce("predicted", F.lit(False))
+    w = F.coalesce(F.col("pair_weight").cast("double"), F.lit(1.0)) if "pair_weight" in df.columns else F.lit(1.0)
+    sums = [F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn")]
+    sums += [F.coalesce(F.sum(F.when(c, w)), F.lit(0.0)).alias(n) for n, c in (("false_link_weight", ~y & p), ("missed_link_weight", y & ~p))]
+    if "baseline" in df.columns:
+        b = F.coalesce("baseline", F.lit(False))
+        sums += [F.count_if(b != p).alias("changed"), F.avg((b != p).cast("double")).alias("change_rate"), F.count_if(b & ~p).alias("cuts"), F.count_if(~b & p).alias("adds")]
+    precision, recall = safe_div(F.col("tp"), F.col("tp") + F.col("fp"), 0.0), safe_div(F.col("tp"), F.col("tp") + F.col("fn"), 0.0)
+    rates = {"precision": precision, "recall": recall}
+    scores = {"f1": safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0), "f0_5": safe_div(1.25 * F.col("precision") * F.col("recall"), 0.25 * F.col("precision") + F.col("recall"), 0.0)}
+    return df.groupBy(*by).agg(*sums).withColumns(rates).withColumns(scores)
+
+
 def threshold_grid(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Metrics at each distinct score as a threshold, and just above the largest. One sort of distinct scores and a
     running sum: scores are counted first, so the window sees one row a score."""
@@ -261,16 +394,42 @@ def stratified_split(df: DataFrame, key: str, stratum: Sequence[str], ratios: Ma
     return rows.withColumn("split", split.otherwise(names[-1])).drop("_o", "_r", "_n")
 
 
+def _parts(scratch: Scratch, pairs: DataFrame, name: str) -> DataFrame:
+    parts = components(scratch, pairs.select("a", "b"), name)
+    return parts.union(parts.select(F.col("component").alias("node"), "component").distinct())
+
+
+def record_split(pairs: DataFrame, ratios: Mapping[str, float], positive: str = "positive", most_share: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(pairs with ``split``, dropped pairs) such that no record is in two splits. Whole components of records, where the
+    largest has at most ``most_share`` of all pairs; else whole components of positive pairs, and pairs between two
+    splits are dropped."""
+    scratch = Scratch(pairs.sparkSession, "record-split")
+    whole = pairs.join(_parts(scratch, pairs, "all").withColumnRenamed("node", "a"), "a")
+    most = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if not most["all"] or most["most"] <= most_share * most["all"]:
+        return component_split(pairs, ratios, seed), pairs.limit(0)
+    units = _parts(scratch, pairs.where(F.col(positive)), "positive")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sized = ends.join(units, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    placed = scratch.keep(_assigned(sized, ratios, seed), "placed")
+    side = ends.distinct().join(units, "node", "left").withColumn("component", F.coalesce("component", "node")).join(placed, "component").select("node", "split")
+    both = pairs.join(side.toDF("a", "split"), "a").join(side.toDF("b", "_other"), "b")
+    return both.where("split = _other").drop("_other"), both.where("split <> _other").drop("split", "_other")
+
+
 def component_split(pairs: DataFrame, ratios: Mapping[str, float], seed: int = 42) -> DataFrame:
     """``split`` of pairs (a, b) such that no record is in two splits: whole components of records go to a split, by a
     seeded hash of the component against the shares of rows before it. Components are ranked in sorted ranges."""
-    from tallyforge.operators.identity import numbered
-
     scratch = Scratch(pairs.sparkSession, "split")
-    parts = components(scratch, pairs.select("a", "b"), "records")
-    parts = parts.union(parts.select(F.col("component").alias("node"), "component").distinct())
-    rows = pairs.join(parts.withColumnRenamed("node", "a"), "a")
+    rows = pairs.join(_parts(scratch, pairs, "records").withColumnRenamed("node", "a"), "a")
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(_assigned(sizes, ratios, seed), "component").drop("component")
+
+
+def _assigned(sizes: DataFrame, ratios: Mapping[str, float], seed: int) -> DataFrame:
+    """(component, split) by the share of rows before a component in the order of a seeded hash. ``sizes``: component, n."""
+    from tallyforge.operators.identity import numbered
+
     total = sizes.agg(F.sum("n").alias("t"))
     place = numbered(sizes.withColumn("o", hash_fraction(F.col("component"), seed)), ["o", "component"])
     # rows before a component: sums by ranges of places, then within a range
@@ -282,7 +441,7 @@ def component_split(pairs: DataFrame, ratios: Mapping[str, float], seed: int = 4
     for name in names[:-1]:
         edge += ratios[name]
         split = F.when(F.col("share") < edge, name) if split is None else split.when(F.col("share") < edge, name)
-    return rows.join(done.select("component", split.otherwise(names[-1]).alias("split")), "component").drop("component")
+    return done.select("component", split.otherwise(names[-1]).alias("split"))
 
 
 def leaking(df: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def reachable(rules: Sequence[Rule], start: str, category: str) -> tuple[list[Ru
 
 def apply(df: DataFrame, rules: Sequence[Rule], category: str = "Категория", fill: Mapping[str, str] | None = None, slice_category: str | None = None, report: bool = False) -> DataFrame:
     """The classified rows. ``fill`` names values for targets that stay empty. With ``report``, ``_applied`` lists the
-    numbers of the rules that wrote to a row."""
+    numbers of the rules that wrote to a row, ``_matched`` of those that matched it."""
     if slice_category is not None:
         rules, _ = reachable(rules, slice_category, category)
     for t in dict.fromkeys(r.target for r in rules):
@@ -162,7 +162,7 @@ def apply(df: DataFrame, rules: Sequence[Rule], category: str = "Категор
         return rest if out is None else out.otherwise(rest)
 
     def cut(df: DataFrame) -> DataFrame:
-        new, marks = {}, []
+        new, marks, met = {}, [], []
         for t in dict.fromkeys([*fills, *overs]):
             now = F.col(q(t)).cast("string")
             first, last = fills.get(t, []), overs.get(t, [])
@@ -171,14 +171,16 @@ def apply(df: DataFrame, rules: Sequence[Rule], category: str = "Категор
             if report:
                 marks += [F.when(is_empty(now), chain([(m, F.lit(r.number)) for m, r in first], F.lit(None).cast("int")))] if first else []
                 marks += [F.when(m, F.lit(r.number)) for m, r in last]
+                met += [F.when(m, F.lit(r.number)) for m, r in (*first, *last)]
         if marks:
             new["_applied"] = F.concat(F.col("_applied"), F.array_compact(F.array(*marks)))
+            new["_matched"] = F.concat(F.col("_matched"), F.array_compact(F.array(*met)))
         fills.clear()
         overs.clear()
         return df.withColumns(new) if new else df
 
     if report:
-        df = df.withColumn("_applied", F.array().cast("array<int>"))
+        df = df.withColumns({c: F.array().cast("array<int>") for c in ("_applied", "_matched")})
     for rule in rules:
         fills_only = rule.mode == "fill_empty" or rule.otherwise
         written = set(fills) | set(overs)
@@ -202,6 +204,19 @@ def rule_report(classified: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return names.join(n, "rule", "left").select("rule", "target", F.coalesce("applied", F.lit(0)).cast("long").alias("applied"))
 
 
+def sample_audit(df: DataFrame, rules: Sequence[Rule], category: str = "Категория", often: float = 0.8) -> DataFrame:
+    """rule, matched, applied and what is odd about it on these rows: never matched, matched but never applied, or
+    matching most rows without being an ``otherwise``. Pass a sample or all rows; matches are those of ``apply``."""
+    done = apply(df, rules, category, report=True)
+    n = F.count(F.lit(1))
+    counts = done.select(F.explode(F.concat(F.transform("_matched", lambda r: F.struct(r.alias("rule"), F.lit(0).alias("a"))), F.transform("_applied", lambda r: F.struct(r.alias("rule"), F.lit(1).alias("a"))))).alias("x"))
+    counts = counts.groupBy("x.rule").agg(F.count_if(F.col("x.a") == 0).alias("matched"), F.count_if(F.col("x.a") == 1).alias("applied"))
+    names = df.sparkSession.createDataFrame([(r.number, r.otherwise) for r in rules], "rule int, otherwise boolean")
+    rows = names.join(counts, "rule", "left").na.fill(0, ["matched", "applied"]).crossJoin(df.agg(n.alias("_n")))
+    odd = F.when(F.col("matched") == 0, "never_matched_sample").when(F.col("applied") == 0, "matched_but_never_applied_sample").when(~F.col("otherwise") & (F.col("matched") >= often * F.greatest("_n", F.lit(1))), "matches_too_many_rows_sample")
+    return rows.select("rule", F.col("matched").cast("long").alias("matched"), F.col("applied").cast("long").alias("applied"), odd.alias("reason"))
+
+
 def empty_share(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """The share of empty cells of each target."""
     return df.agg(*((F.count_if(is_empty(F.col(q(t)))) / F.count(F.lit(1))).alias(t) for t in targets))

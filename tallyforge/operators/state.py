@@ -40,6 +40,41 @@ def month_plan(categories: DataFrame, first: tuple[int, int], last: tuple[int, i
     return rows.withColumns({"year": F.year("_m"), "month": F.month("_m"), "period": F.date_format("_m", "yyyy-MM")}).drop("_m")
 
 
+def month_iter(first: tuple[int, int], last: tuple[int, int]) -> list[tuple[int, int]]:
+    """The (year, month) pairs of a range, both ends included."""
+    if first > last:
+        raise ValueError("the first month is after the last")
+    return [(k // 12, k % 12 + 1) for k in range(first[0] * 12 + first[1] - 1, last[0] * 12 + last[1])]
+
+
+def next_month(year: int, month: int) -> tuple[int, int]:
+    return month_iter((year, month), (year + 1, month))[1]
+
+
+def months_by_year(first: tuple[int, int], last: tuple[int, int]) -> dict[int, tuple[int, ...]]:
+    """The months of a range by their year."""
+    months = month_iter(first, last)
+    return {y: tuple(m for x, m in months if x == y) for y in dict.fromkeys(y for y, _ in months)}
+
+
+def task_status() -> Column:
+    """How far a task has come, by its steps; saving is open again."""
+    return F.expr("CASE WHEN classify_status = 'classified' THEN 'classified' WHEN process_status = 'processed' THEN 'processed' WHEN download_status = 'downloaded' THEN 'downloaded' ELSE 'pending' END")
+
+
+def slices_deleted(tasks: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Tasks after slices of the cube are gone: those of a deleted slice are to be saved again and fall back to the step
+    before; others stay. Also without an error."""
+    gone = tasks.join(keys.select(*on).distinct().withColumn("_gone", F.lit(True)), list(on), "left")
+    hit = F.coalesce("_gone", F.lit(False))
+    return gone.withColumns({"status": F.when(hit, task_status()).otherwise(F.col("status")), "save_status": F.when(hit, "pending").otherwise(F.col("save_status")), "error_message": F.when(~hit, F.col("error_message"))}).drop("_gone")
+
+
+def without_runs(children: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of runs that stay: those of the runs listed are deleted with them."""
+    return children.join(runs.select("run_id").distinct(), "run_id", "left_anti")
+
+
 def project_summary(parts: Mapping[str, DataFrame]) -> DataFrame:
     """One row for each project that any part names. A part has ``project`` and its own aggregated columns, one row a
     project; what a part doesn't know is NULL."""

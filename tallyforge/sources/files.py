@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tallyforge import storage
 from tallyforge.schema import q
 
 # What reports are separated by and encoded in, and the row limit of a spreadsheet.
 SEPARATORS = (",", ";", "\t", "|")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1251")
 SHEET_ROWS = 1_048_575
+#: How many files a split by category makes unasked, and at all.
+MOST_FILES, MOST_CATEGORIES = 10, 10_000
 HEAD = 50_000
 
 
@@ -139,9 +142,60 @@ def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.toDF(*names).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_by_category(df: DataFrame, path: str, column: str = "__category_key") -> None:
-    """One folder for each category."""
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+def write_by_category(df: DataFrame, path: str, column: str = "__category_key", confirmed: bool = False, sep: str = ";", most_rows: int = SHEET_ROWS) -> list[str]:
+    """A folder of CSV files for each category, without rows of none; gives the categories. More than ``MOST_FILES``
+    need to be ``confirmed``. A file holds at most ``most_rows`` rows; a large category is written by several tasks."""
+    there = df.where(F.trim(F.col(q(column)).cast("string")) != "")
+    names = sorted(str(r[0]) for r in there.select(F.col(q(column))).distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(names) > MOST_CATEGORIES or len(names) > MOST_FILES and not confirmed:
+        raise ValueError(f"that makes more than {min(len(names), MOST_CATEGORIES) - 1} files; confirm it")
+    there.withColumn("_to", F.col(q(column))).write.mode("overwrite").partitionBy("_to").option("maxRecordsPerFile", most_rows).option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    return names
+
+
+def read_strict(spark: SparkSession, paths: Sequence[str], sep: str = ";", encoding: str = "utf-8-sig") -> DataFrame:
+    """CSV files one after the other, all columns as text, with ``_file`` (place in ``paths``) and ``_row`` (from 1, in
+    the file's order). Columns are those of all files, NULL where a file lacks one. A short row is filled with NULLs; one
+    of too many fields is an error."""
+    out = None
+    for k, path in enumerate(paths):
+        names = _header(head_of(spark, path), encoding, sep)
+        more = "_more" + "_" * max(map(len, names))
+        schema = StructType([StructField(n, StringType()) for n in [*names, more]])
+        #: A file of quoted line breaks is read as one split, so the row's number is its place in that split.
+        reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+        rows = reader.option("encoding", "ISO-8859-1" if encoding == "cp1251" else "UTF-8").csv(path)
+        rows = rows.where(F.when(F.col(q(more)).isNull(), F.lit(True)).otherwise(F.raise_error(F.lit(f"{path}: a row has over {len(names)} fields")).cast("boolean"))).drop(more)
+        if encoding == "cp1251":
+            high = bytes(range(128, 256))
+            rows = rows.select(*(F.translate(F.col(q(n)), high.decode("latin-1"), high.decode("cp1251", "replace")).alias(n) for n in names))
+        rows = rows.withColumns({"_file": F.lit(k), "_row": F.monotonically_increasing_id() + 1})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that rules run on: a spreadsheet by its name's ending, else a sniffed CSV file."""
+    from tallyforge.sources.sheets import read_sheet
+
+    return read_sheet(spark, path) if path.lower().endswith((".xlsx", ".xlsm")) else read_any_csv(spark, path)
+
+
+def file_stats(spark: SparkSession, root: str, parts: Sequence[str]) -> DataFrame:
+    """project, and for each of ``parts`` (folders inside a project's folder) the number and the bytes of its files."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for s in store.listStatus(p):
+        if s.isDirectory():
+            row: list[object] = [s.getPath().getName()]
+            for part in parts:
+                inner = jvm.org.apache.hadoop.fs.Path(s.getPath(), part)
+                found = store.getContentSummary(inner) if store.exists(inner) else None
+                row += [found.getFileCount() if found else 0, found.getLength() if found else 0]
+            rows.append(tuple(row))
+    return spark.createDataFrame(rows, "project string" + "".join(f", {q(f'{x}_files')} long, {q(f'{x}_bytes')} long" for x in parts))
 
 
 def sheet_guard(rows: int) -> None:
@@ -151,3 +205,10 @@ def sheet_guard(rows: int) -> None:
 
 def manifest(values: Mapping[str, object]) -> str:
     return json.dumps(values, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def write_manifest(spark: SparkSession, path: str, values: Mapping[str, object]) -> str:
+    """A manifest as a JSON file, which appears whole or not at all; gives its text."""
+    text = manifest(values)
+    storage.write_text(spark, path, text)
+    return text

@@ -53,6 +53,29 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"can't move {source} to {target}")
 
 
+def write_text(spark: SparkSession, name: str, text: str) -> None:
+    """A small text file, moved into place when it is whole."""
+    path, store = _path(spark, name)
+    part, _ = _path(spark, f"{name}.part-{uuid.uuid4().hex}")
+    stream = store.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    store.delete(path, False)
+    if not store.rename(part, path):
+        raise OSError(f"can't write {name}")
+
+
+def read_text(spark: SparkSession, name: str) -> str:
+    path, store = _path(spark, name)
+    stream = store.open(path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 class Scratch:
     """Tables of one run, written as Parquet under the shared folder."""
 
