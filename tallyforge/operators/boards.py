@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.identity import numbered
+
 
 def majority(votes: DataFrame, needed: int, voters: int) -> DataFrame:
     """status and label of each row: a label with ``needed`` votes wins (the first to get there); all votes in without
@@ -19,7 +21,7 @@ def majority(votes: DataFrame, needed: int, voters: int) -> DataFrame:
 def leaderboard(answers: DataFrame, by: str) -> DataFrame:
     """answers and distinct rows of each team or player, with its place (ties: by name)."""
     rows = answers.groupBy(by).agg(F.count(F.lit(1)).alias("answers"), F.countDistinct("row_id").alias("rows"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("answers"), F.desc("rows"), by)).cast("long"))
+    return numbered(rows, [F.desc("answers"), F.desc("rows"), F.col(by)]).withColumnRenamed("_k", "place")
 
 
 def lead_changes(scores: DataFrame) -> DataFrame:

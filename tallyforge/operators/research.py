@@ -426,17 +426,23 @@ def component_split(pairs: DataFrame, ratios: Mapping[str, float], seed: int = 4
     return rows.join(_assigned(sizes, ratios, seed), "component").drop("component")
 
 
-def _assigned(sizes: DataFrame, ratios: Mapping[str, float], seed: int) -> DataFrame:
-    """(component, split) by the share of rows before a component in the order of a seeded hash. ``sizes``: component, n."""
+def _before(df: DataFrame, order: Sequence[str], n: str, band: int = 10_000) -> DataFrame:
+    """``df`` with ``_before``, the sum of ``n`` over the rows before it: sums of bands of places, then within a band."""
     from tallyforge.operators.identity import numbered
 
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = numbered(df, order).withColumn("_band", F.floor(F.col("_k") / band))
+    bands = rows.groupBy("_band").agg(F.sum(n).alias("_s"))
+    bands = bands.withColumn("_s", earlier("_s", Window.orderBy("_band")))
+    inner = rows.withColumn("_in", earlier(n, Window.partitionBy("_band").orderBy("_k")))
+    return inner.join(bands, "_band").withColumn("_before", F.col("_s") + F.col("_in")).drop("_k", "_band", "_s", "_in")
+
+
+def _assigned(sizes: DataFrame, ratios: Mapping[str, float], seed: int) -> DataFrame:
+    """(component, split) by the share of rows before a component in the order of a seeded hash. ``sizes``: component, n."""
     total = sizes.agg(F.sum("n").alias("t"))
-    place = numbered(sizes.withColumn("o", hash_fraction(F.col("component"), seed)), ["o", "component"])
-    # rows before a component: sums by ranges of places, then within a range
-    band = place.withColumn("band", F.floor(F.col("_k") / 10_000))
-    bands = band.groupBy("band").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("band").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    done = band.withColumn("inner", inner).join(bands.select("band", "before"), "band").crossJoin(F.broadcast(total)).withColumn("share", (F.col("before") + F.col("inner")) / F.col("t"))
+    before = _before(sizes.withColumn("o", hash_fraction(F.col("component"), seed)), ["o", "component"], "n")
+    done = before.crossJoin(total).withColumn("share", F.col("_before") / F.col("t"))
     names, edge, split = list(ratios), 0.0, None
     for name in names[:-1]:
         edge += ratios[name]
@@ -485,9 +491,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """The rank correlation of two columns, ties at their mean rank. Values are counted first and ranked as counts."""
     ranked = df
     for c in (a, b):
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_rank_{c}")), c)
+        counts = _before(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), [c], "_n")
+        ranked = ranked.join(counts.select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_rank_{c}")), c)
     return ranked.agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias("rho"))
 
 

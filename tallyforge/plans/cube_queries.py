@@ -10,6 +10,7 @@ from tallyforge.functions import text as t
 from tallyforge.operators import cube as c
 from tallyforge.operators import exports as e
 from tallyforge.operators import reports as r
+from tallyforge.operators import summaries as su
 from tallyforge.operators.identity import numbered
 from tallyforge.plans.adapter import CUBE, PROJECT, cube, table
 from tallyforge.plans.catalog import query
@@ -132,8 +133,7 @@ def _(spark, d):
 
 @query("a15_task_summary", f"WITH {CUBE} SELECT count(DISTINCT ck) AS categories, count(DISTINCT y * 12 + mo) AS months, count(DISTINCT mp) AS marketplaces FROM cube")
 def _(spark, d):
-    x = cube(spark, d)
-    return x.agg(F.countDistinct("__category_key").alias("categories"), F.countDistinct(r.period_index(F.col("__year"), F.col("__month"))).alias("months"), F.countDistinct("__marketplace_code").alias("marketplaces"))
+    return su.task_summary(cube(spark, d))
 
 
 @query("a23_duplicate_hash_audit", f"WITH {CUBE} SELECT CAST(sum(k - 1) AS BIGINT) AS extra_rows, count(*) AS repeated FROM (SELECT art, mp, y, mo, count(*) AS k FROM cube GROUP BY ALL HAVING count(*) > 1)")
@@ -146,9 +146,7 @@ def _(spark, d):
 @query("a24_group_report", f"WITH {CUBE} SELECT y AS year, mo AS month, cat AS category, market AS marketplace, count(*) AS n_rows, CAST(sum(qty) AS DOUBLE) AS units, CAST(sum(rev) AS DOUBLE) AS revenue FROM cube WHERE mp IN ('asia', 'europe') AND y BETWEEN 1996 AND 1997 GROUP BY ALL")
 def _(spark, d):
     x = cube(spark, d).where("__marketplace_code in ('asia', 'europe') and __year between 1996 and 1997")
-    return x.groupBy(F.col("__year").alias("year"), F.col("__month").alias("month"), F.col("Категория").alias("category"), F.col("Маркетплейс").alias("marketplace")).agg(
-        F.count("*").alias("n_rows"), n.exact_sum(n.num(F.col(q("Продажи, шт")))).alias("units"), n.exact_sum(n.num(F.col(q("Выручка, руб")))).alias("revenue")
-    )
+    return su.group_totals(x, {"year": "__year", "month": "__month", "category": "Категория", "marketplace": "Маркетплейс"})
 
 
 @query("a25_single_value", f"WITH {CUBE} SELECT ck AS category_key, CASE WHEN count(DISTINCT lower(trim(cat))) = 1 THEN min(cat) END AS one, CASE WHEN count(DISTINCT lower(trim(brand))) = 1 THEN min(brand) END AS many FROM cube GROUP BY ck")
@@ -161,7 +159,7 @@ def _(spark, d):
 @query("a47_latest_month", f"WITH {CUBE} SELECT ck AS category_key, max(y * 12 + mo) // 12 AS label_year, max(y * 12 + mo) AS idx FROM (SELECT ck, y, mo - 1 AS mo FROM cube) GROUP BY ck")
 def _(spark, d):
     x = cube(spark, d).withColumn("i", F.expr("__year * 12 + __month - 1"))
-    return x.groupBy(F.col("__category_key").alias("category_key")).agg(F.max_by("__year", "i").alias("label_year"), F.max("i").alias("idx"))
+    return su.latest(x, ["__category_key"], "__year", "i").toDF("category_key", "label_year", "idx")
 
 
 @query("a51_filtered_count", f"WITH {CUBE} SELECT count(*) AS rows FROM cube WHERE qty BETWEEN 10 AND 20 AND brand = 'Brand#12'")
@@ -245,7 +243,7 @@ def _(spark, d):
 @query("f14_null_safe_equality", "SELECT count(*) AS same FROM nation a JOIN nation b ON nullif(a.n_regionkey, 0) IS NOT DISTINCT FROM nullif(b.n_regionkey, 0)")
 def _(spark, d):
     x = table(spark, d, "nation").select(F.expr("nullif(n_regionkey, 0)").alias("a"))
-    return x.join(x.toDF("b"), F.col("a").eqNullSafe(F.col("b"))).agg(F.count("*").alias("same"))
+    return x.join(x.toDF("b"), su.same(F.col("a"), F.col("b"))).agg(F.count("*").alias("same"))
 
 
 @query("j1_anti_row_hash", f"WITH {CUBE} SELECT DISTINCT rid FROM cube WHERE y = 1998 AND rid NOT IN (SELECT rid FROM cube WHERE brand = 'Brand#11')")
@@ -277,10 +275,7 @@ def _(spark, d):
 
 @query("j19_plan_lookup", f"{_REGISTRY}, p AS (SELECT DISTINCT y, mo, m.mp, ck FROM reg CROSS JOIN (SELECT DISTINCT mp FROM reg) m) SELECT p.y AS year, p.mo AS month, p.mp AS marketplace_code, p.ck AS category_key, reg.n IS NOT NULL AS in_cube, reg.n AS rows_count FROM p LEFT JOIN reg ON p.y = reg.y AND p.mo = reg.mo AND p.mp = reg.mp AND p.ck = reg.ck")
 def _(spark, d):
-    reg = _registry(spark, d)
-    plan = reg.select("__year", "__month", "__category_key").distinct().crossJoin(F.broadcast(table(spark, d, "region").join(reg.select("__marketplace_code").distinct(), F.lower("r_name") == F.col("__marketplace_code")).select("__marketplace_code")))
-    keys = ["__year", "__month", "__marketplace_code", "__category_key"]
-    return _ascii(plan.join(reg.select(*keys, "rows_count"), keys, "left").select(*keys, F.col("rows_count").isNotNull().alias("in_cube"), "rows_count"))
+    return _ascii(su.plan_lookup(_registry(spark, d)))
 
 
 @query("j20_category_month_plan", "SELECT DISTINCT p_type AS category, printf('%04d-%02d', 1995 + CAST(i // 12 AS INTEGER), CAST(i % 12 + 1 AS INTEGER)) AS period FROM part, range(30) t(i) WHERE printf('%04d-%02d', 1995 + CAST(i // 12 AS INTEGER), CAST(i % 12 + 1 AS INTEGER)) >= '1995-04' AND length(p_type) % 2 = 0 OR i >= 24")
@@ -323,13 +318,13 @@ def _(spark, d):
 
 @query("w8_quantile_window", f"WITH {CUBE} SELECT mp AS marketplace_code, quantile_cont(CAST(qty AS DOUBLE), 0.2) AS q20, quantile_cont(CAST(qty AS DOUBLE), 0.95) AS q95 FROM cube GROUP BY mp")
 def _(spark, d):
-    x = n.num(F.col(q("Продажи, шт")))
-    return cube(spark, d).groupBy(F.col("__marketplace_code").alias("marketplace_code")).agg(F.percentile(x, F.lit(0.2)).alias("q20"), F.percentile(x, F.lit(0.95)).alias("q95"))
+    x = cube(spark, d)
+    return su.quantiles(x, ["__marketplace_code"], n.number_of(x, "Продажи, шт"), {"q20": 0.2, "q95": 0.95}).withColumnRenamed("__marketplace_code", "marketplace_code")
 
 
 @query("w9_group_size", f"WITH {CUBE} SELECT rid, count(*) OVER (PARTITION BY art) AS size FROM cube")
 def _(spark, d):
-    return cube(spark, d).select(F.col("__row_hash").alias("rid"), F.count("*").over(Window.partitionBy("Артикул")).alias("size"))
+    return su.group_size(cube(spark, d).select(F.col("__row_hash").alias("rid"), "Артикул"), ["Артикул"]).drop("Артикул")
 
 
 @query("o1_report_order", f"WITH {CUBE} SELECT row_number() OVER (ORDER BY y, mo, cat, market) AS place, y AS year, mo AS month, cat AS category, market AS marketplace FROM cube GROUP BY y, mo, cat, market ORDER BY place")

@@ -12,6 +12,7 @@ from tallyforge.operators import graph as g
 from tallyforge.operators import identity as i
 from tallyforge.operators import research as r
 from tallyforge.operators import state as s
+from tallyforge.operators import summaries as su
 from tallyforge.plans.adapter import CUBE, cube, table
 from tallyforge.plans.catalog import query
 from tallyforge.schema import q
@@ -22,10 +23,11 @@ _NODES = f"""WITH {CUBE}, nodes AS (SELECT 'sku_' || substr(sha1(concat_ws('|',
 
 
 def _source(spark, d):
-    return cube(spark, d).select(
+    x = cube(spark, d)
+    return x.select(
         F.col("__project_name").alias("project_name"), F.col("__category_key").alias("category_key"), F.col("__marketplace_code").alias("marketplace_code"), F.col("Артикул").alias("article"), F.col("Категория").alias("category_name"),
         F.col("Маркетплейс").alias("marketplace"), F.col("SKU").alias("sku"), F.col("Бренд").alias("brand"), F.col("Подкатегория").alias("subcategory"), F.lit(0.5).alias("unit_amount"), F.lit(1.5).alias("total_amount"),
-        n.num(F.col(q("Продажи, шт"))).alias("sales_volume"), n.num(F.col(q("Выручка, руб"))).alias("revenue"), F.col("__row_hash").alias("row_hash"),
+        n.number_of(x, "Продажи, шт").alias("sales_volume"), n.number_of(x, "Выручка, руб").alias("revenue"), F.col("__row_hash").alias("row_hash"),
     )
 
 
@@ -172,7 +174,7 @@ def _(spark, d):
 @query("a21_family_candidates", f"{_NODES} SELECT 'f' || (CAST(art AS BIGINT) % 30) AS family, mp AS marketplace_code, CAST(sum(CAST(revenue AS DECIMAL(38,6))) AS DOUBLE) AS revenue, CAST(sum(CAST(units AS DECIMAL(38,6))) AS DOUBLE) AS units, count(*) AS nodes, min(brand) AS brand FROM nodes GROUP BY ALL")
 def _(spark, d):
     x = i.nodes(_source(spark, d), "row_hash").withColumn("family", F.expr("'f' || (cast(article as long) % 30)"))
-    return x.groupBy("family", "marketplace_code").agg(n.exact_sum(F.col("revenue")).alias("revenue"), n.exact_sum(F.col("sales_volume")).alias("units"), F.count("*").alias("nodes"), F.min("brand").alias("brand"))
+    return su.family_candidates(x, ["family", "marketplace_code"])
 
 
 @query("w5_family_rank", f"{_CANON} SELECT family, pack, row_number() OVER (PARTITION BY family ORDER BY revenue DESC NULLS LAST, members DESC NULLS LAST, canonical NULLS LAST) AS place FROM can")
@@ -374,13 +376,13 @@ def _(spark, d):
 
 @query("a34_split_counts", f"WITH {_CAL} SELECT method, count(*) FILTER (WHERE split = 'dev') AS dev, count(*) FILTER (WHERE split = 'test') AS test FROM cal GROUP BY method")
 def _(spark, d):
-    return _cal(spark, d).groupBy("method").pivot("split", ["dev", "test"]).agg(F.count(F.lit(1))).na.fill(0)
+    return su.crosstab(_cal(spark, d), "method", "split", ["dev", "test"])
 
 
 @query("a35_sales_lookup", f"WITH {CUBE} SELECT mp || '::' || art AS raw_record_id, CAST(sum(qty) AS DOUBLE) AS units FROM cube WHERE qty >= 15 AND ck IN ('economy', 'promo', 'standard') GROUP BY 1")
 def _(spark, d):
     x = cube(spark, d).where("__category_key in ('economy', 'promo', 'standard')")
-    units = n.num(F.col(q("Продажи, шт")))
+    units = n.number_of(x, "Продажи, шт")
     return x.where(units >= 15).groupBy(F.concat_ws("::", t.marketplace_key(F.col("__marketplace_code")), F.col("Артикул")).alias("raw_record_id")).agg(n.exact_sum(units).alias("units"))
 
 
@@ -458,7 +460,7 @@ def _(spark, d):
 @query("a38_crosstab", "SELECT p_brand AS brand, count(*) FILTER (WHERE p_size < 20) AS small, count(*) FILTER (WHERE p_size >= 20) AS large FROM part GROUP BY 1")
 def _(spark, d):
     x = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.expr("if(p_size < 20, 'small', 'large')").alias("size"))
-    return x.groupBy("brand").pivot("size", ["small", "large"]).agg(F.count(F.lit(1))).na.fill(0)
+    return su.crosstab(x, "brand", "size", ["small", "large"])
 
 
 @query("a39_spearman", "WITH c AS (SELECT p_size AS x, round(p_retailprice / 50) AS y FROM part), rx AS (SELECT x, sum(n) OVER (ORDER BY x) - n + (n + 1) / 2.0 AS a FROM (SELECT x, count(*) AS n FROM c GROUP BY x)), ry AS (SELECT y, sum(n) OVER (ORDER BY y) - n + (n + 1) / 2.0 AS b FROM (SELECT y, count(*) AS n FROM c GROUP BY y)) SELECT round(corr(a::DOUBLE, b::DOUBLE), 9) AS rho FROM c JOIN rx USING (x) JOIN ry USING (y)")
@@ -469,9 +471,9 @@ def _(spark, d):
 
 @query("a40_anomaly_flags", f"WITH {CUBE} SELECT count(*) FILTER (WHERE qty > 45) AS many, count(*) FILTER (WHERE kg < 0.1) AS light, count(*) FILTER (WHERE rev / qty > 1500) AS dear FROM cube")
 def _(spark, d):
-    units, money = n.num(F.col(q("Продажи, шт"))), n.num(F.col(q("Выручка, руб")))
-    flags = {"many": units > 45, "light": n.num(F.col(q("Объем, кг"))) < 0.1, "dear": money / units > 1500}
-    return cube(spark, d).agg(*(F.count_if(c).alias(k) for k, c in flags.items()))
+    x = cube(spark, d)
+    units, money, kg = (n.number_of(x, c) for c in ("Продажи, шт", "Выручка, руб", "Объем, кг"))
+    return su.flag_counts(x, {"many": units > 45, "light": kg < 0.1, "dear": money / units > 1500})
 
 
 @query("a41_monthly_dynamics", "WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT min(month) AS lo, max(month) AS hi, sum(n) AS t FROM c), m AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month, t FROM b) SELECT month, coalesce(n, 0) AS n, coalesce(n, 0) / t AS share, avg(coalesce(n, 0)) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean3 FROM m LEFT JOIN c USING (month)")
@@ -481,13 +483,12 @@ def _(spark, d):
 
 @query("a44_record_profile", f"WITH {CUBE} SELECT count(*) AS raw_rows, count(DISTINCT mp || '::' || art) AS records, count(DISTINCT art) AS articles, (SELECT count(*) FROM (SELECT art FROM cube GROUP BY art HAVING count(DISTINCT mp) > 1)) AS shared FROM cube")
 def _(spark, d):
-    x = cube(spark, d).groupBy("Артикул").agg(F.count("*").alias("n"), F.countDistinct("__marketplace_code").alias("m"))
-    return x.agg(F.sum("n").alias("raw_rows"), F.sum("m").alias("records"), F.count("*").alias("articles"), F.count_if(F.expr("m > 1")).alias("shared"))
+    return su.record_profile(cube(spark, d))
 
 
 @query("a46_score_describe", "SELECT source, count(*) AS n, min(n_chars) AS lo, quantile_cont(n_chars::DOUBLE, 0.5) AS mid, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95, max(n_chars) AS hi FROM documents GROUP BY source")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("n_chars").alias("lo"), F.percentile("n_chars", F.lit(0.5)).alias("mid"), F.round(F.percentile("n_chars", F.lit(0.95)), 6).alias("p95"), F.max("n_chars").alias("hi"))
+    return su.described(table(spark, d, "documents"), ["source"], "n_chars", {"mid": 0.5, "p95": 0.95}).withColumn("p95", F.round("p95", 6))
 
 
 @query("a49_node_score_stats", f"{_TOPK}, p AS (SELECT least(node, other) AS a, greatest(node, other) AS b, round(max(score), 6) AS score FROM k WHERE rank <= 3 AND node <> other GROUP BY 1, 2), z AS (SELECT a AS node, score FROM p UNION ALL SELECT b, score FROM p) SELECT node, count(*) AS edges, max(score) AS best, min(score) AS worst FROM z GROUP BY node")
@@ -498,12 +499,12 @@ def _(spark, d):
 
 @query("a50_top_senders", "SELECT regexp_extract(url, '://([^/]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
 def _(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(20)
+    return su.top_values(table(spark, d, "pages"), F.regexp_extract("url", "://([^/]+)", 1), "domain", 20)
 
 
 @query("o6_longest_titles", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
 def _(spark, d):
-    return table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(15).select("doc_id", "n_chars")
+    return su.largest(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 15)
 
 
 # Boards

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from tallyforge.functions import numbers as n
 from tallyforge.functions import text as t
 from tallyforge.operators import records as r
+from tallyforge.operators import summaries as su
 from tallyforge.plans.adapter import CUBE, cube, table
 from tallyforge.plans.catalog import query
 from tallyforge.schema import q
 
 
 def _rows(spark, d):
-    return cube(spark, d).select(F.col("Маркетплейс").alias("marketplace"), F.col("Артикул").alias("sku"), F.col("SKU").alias("title"), F.col("Бренд").alias("brand"), F.col("Подкатегория").alias("subcategory"), n.num(F.col(q("Продажи, шт"))).alias("units"), F.col("__row_hash").alias("rid"))
+    x = cube(spark, d)
+    return x.select(F.col("Маркетплейс").alias("marketplace"), F.col("Артикул").alias("sku"), F.col("SKU").alias("title"), F.col("Бренд").alias("brand"), F.col("Подкатегория").alias("subcategory"), n.number_of(x, "Продажи, шт").alias("units"), F.col("__row_hash").alias("rid"))
 
 
 _RECORDS = f"WITH {CUBE}, rec AS (SELECT mp || '::' || art AS raw_record_id, min(sku) AS title, min(brand) AS brand, min(sub) AS subcategories, CAST(sum(qty) AS DOUBLE) AS units, count(*) AS n_rows FROM cube GROUP BY 1)"
@@ -66,7 +68,7 @@ def _(spark, d):
 
 @query("a56_metric_pivot", "SELECT source AS algorithm, max(n_chars) FILTER (WHERE lang = 'de') AS de, max(n_chars) FILTER (WHERE lang = 'en') AS en FROM documents GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("algorithm"), "lang", "n_chars").groupBy("algorithm").pivot("lang", ["de", "en"]).agg(F.max("n_chars"))
+    return su.pivoted(table(spark, d, "documents").select(F.col("source").alias("algorithm"), "lang", "n_chars"), "algorithm", "lang", ["de", "en"], F.max("n_chars"))
 
 
 @query("m5_scoped_topk", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS node, b.vec_id AS other, a.label AS la, b.label AS lb, list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])) AS score FROM e a JOIN e b ON TRUE), n1 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s WHERE la = lb AND la > 0) WHERE rk <= 4), n2 AS (SELECT node, other, score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) - 1 AS rk FROM s) WHERE rk <= CASE WHEN la = 0 THEN 4 ELSE 2 END) SELECT least(node, other) AS a, greatest(node, other) AS b, round(round(max(score), 6), 3) AS score FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) WHERE node <> other GROUP BY 1, 2")
@@ -103,10 +105,10 @@ def _(spark, d):
 
 @query("a53_duplicate_examples", "WITH k AS (SELECT p_brand, p_size, p_name, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand AS brand, p_size AS size, p_name AS title, n FROM k WHERE n >= 2")
 def _(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_name").alias("title")).agg(F.count("*").alias("n")).where("n >= 2")
+    return su.duplicates(table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_name").alias("title")), ["brand", "size", "title"])
 
 
 @query("j14_dictionary_join", "SELECT n_name AS nation, count(*) AS n_rows, CAST(sum(CAST(c_acctbal AS DECIMAL(38,6))) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
 def _(spark, d):
-    x = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return x.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("n_rows"), n.exact_sum(F.col("c_acctbal")).alias("balance"))
+    x = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("key"), F.col("c_acctbal").alias("balance"))
+    return su.dictionary_sums(x, table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("nation")), "key", "nation", "balance")
