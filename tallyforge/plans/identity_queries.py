@@ -61,7 +61,7 @@ _TOPK = f"""WITH {_EMB}, s AS (SELECT a.vec_id AS node, b.vec_id AS other, list_
 
 @query("j17_topk_join", f"{_TOPK} SELECT node, other, round(score, 4) AS score FROM k WHERE rank <= 5 AND node <> other")
 def _(spark, d):
-    return i.top_k(_vectors(spark, d), 5, tile=16).select("node", "other", F.round("score", 4).alias("score"))
+    return i.top_k(_vectors(spark, d), 5).select("node", "other", F.round("score", 4).alias("score"))
 
 
 @query("m4_candidate_pairs", f"{_TOPK} SELECT least(node, other) AS node_id_a, greatest(node, other) AS node_id_b, round(max(score), 6) AS similarity FROM k WHERE rank <= 5 AND node <> other GROUP BY 1, 2")
