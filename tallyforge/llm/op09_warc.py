@@ -227,7 +227,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, most_bytes: in
     scratch = Scratch(spark, "warc-types")
     pages = pages.select("page_id", "url", "html")
     revisits = _types(pages, scratch, least)
-    table = spark.sparkContext.broadcast(bloom(revisits, ["page_id"]))
+    table = scratch.send(bloom(revisits, ["page_id"]))
 
     def part(wanted: bool):
         def run(it):
@@ -253,7 +253,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, most_bytes: in
     asked = asked.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     one, two = pages.mapInArrow(sure, "archive string, count long"), asked.mapInArrow(rest, "archive string, count long")
     #: Same records, same name: a task that ran twice has written one file.
-    return scratch.keep(one.union(two), "archives")
+    out = scratch.keep(one.union(two), "archives")
+    scratch.release()
+    return out
 
 
 def normalise_archives(archives: DataFrame, source: str, folder: str) -> DataFrame:
