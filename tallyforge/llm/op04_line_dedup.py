@@ -196,7 +196,8 @@ def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words:
                 x2 = np.bitwise_xor.reduceat(np.where(high, U64(0), bit), at)
                 size = np.where(n >= min_words, n - -(-percent * n // 100) + 1, 0)
                 pos = np.arange(len(h)) - np.repeat(at, n)
-                take = np.flatnonzero(pos < np.repeat(size, n))
+                #: A token that occurs once in all texts, by the count table, meets no other line.
+                take = np.flatnonzero((pos < np.repeat(size, n)) & (table[(h & U64(len(table) - 1)).astype(np.int64)] > 1))
                 if only is not None:
                     take = take[in_bloom(only.value, h[take])]
                 of = np.repeat(np.arange(len(at)), n)[take]
@@ -207,7 +208,7 @@ def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words:
             posted = {c: np.concatenate([f[c] for f in found]).astype(t, copy=False) for c, t in _FIELDS}
             posted = _segments(posted, table, hot)
             shard = (tk.mix(posted["token"]) % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # 16 bits: radix sort
             at = _starts(shard[order])
             ends = np.append(at, len(order)).tolist()
             columns = [pa.array(shard[order][at])]
@@ -236,7 +237,15 @@ def _candidates(percent: int, tries: int, asked=None):
 
     def run(key, table):
         u = {c: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in _FIELDS}
-        order = np.lexsort((u["line"], u["doc_id"], u["token"]))
+        tokens = np.sort(u["token"])
+        tokens = tokens[1:][tokens[1:] == tokens[:-1]]
+        if len(tokens):
+            at = np.searchsorted(tokens, u["token"])
+            at[at == len(tokens)] = 0
+            several = np.flatnonzero(tokens[at] == u["token"])
+        else:
+            several = np.zeros(0, np.int64)
+        order = several[np.lexsort((u["line"][several], u["doc_id"][several], u["token"][several]))]
         u = {c: v[order] for c, v in u.items()}
         first = _starts(u["token"])
         count = np.diff(np.append(first, len(order)))
@@ -305,7 +314,7 @@ def _wrongly_named(lines: DataFrame, copies, later: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line").mapInArrow(run, "doc_id long, line int").join(later, ["doc_id", "line"], "left_anti")
 
 
-def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18, shard_postings: int = 100_000) -> DataFrame:
+def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18, shard_postings: int = 200_000) -> DataFrame:
     """(doc_id, line) of every line that has an earlier match; null doc_ids aren't allowed. See the module."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
