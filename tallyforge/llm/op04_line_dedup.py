@@ -57,26 +57,13 @@ def _distinct_counts(key: np.ndarray, h: np.ndarray, at: np.ndarray, min_words:
     return enough
 
 
-def _repeats(sig: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which of these lines come after another of their signature."""
-    order = np.lexsort((line, doc, sig))
-    s, d, n = sig[order], doc[order], line[order]
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0)) if len(s) else np.zeros(0, np.int64)
-    out = np.zeros(len(s), bool)
-    out[order] = (d != d[first]) | (n != n[first])
-    return out
-
-
 def _first_pass(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
-    """Rows of two kinds: chunks of word counts; and doc_id, line, signature of each line of enough distinct words, with
-    ``later`` for those that repeat an earlier line of their batch."""
-    names = ["chunk", "counts", "doc_id", "line", "sig", "later"]
+    """Rows of two kinds: chunks of word counts; and doc_id, line, signature of each line of enough distinct words."""
 
     def run(it):
         table = np.zeros(buckets, np.uint32)
         for batch in it:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            found = []
             for i, j, data, offsets in tk.batches(batch, "text"):
                 w = tk.words(data, offsets)
                 if not len(w.hash):
@@ -87,40 +74,21 @@ def _first_pass(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
                 sig = np.add.reduceat(w.hash, at) ^ tk.mix(np.bitwise_xor.reduceat(w.hash * U64(0xD6E8FEB86659FD93), at))
                 enough = _distinct_counts(key, w.hash, at, min_words)
                 at, sig = at[enough], sig[enough]
-                found.append((ids[i:j][text[at]], _line_numbers(w, offsets, text[at], before[at]), sig.view(np.int64)))
-            if found:
-                doc, line, sig = (np.concatenate(x) for x in zip(*found, strict=True))
-                k = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(doc), pa.array(line, pa.int32()), pa.array(sig), pa.array(_repeats(sig, doc, line))], names)
+                number = _line_numbers(w, offsets, text[at], before[at])
+                k = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids[i:j][text[at]]), pa.array(number, pa.int32()), pa.array(sig.view(np.int64))],
+                    ["chunk", "counts", "doc_id", "line", "sig"],
+                )
         parts = table.reshape(-1, CHUNK)
         if table.any():
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_())], names
+                [pa.array(range(k), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())],
+                ["chunk", "counts", "doc_id", "line", "sig"],
             )
 
-    return docs.mapInArrow(run, "chunk int, counts binary, doc_id long, line int, sig long, later boolean")
-
-
-def _marked(lines: DataFrame) -> DataFrame:
-    """doc_id, line, later of lines (doc_id, line, sig): all but the first of a signature are later. A signature has at
-    most one line of each batch here, and a task streams its sorted rows."""
-
-    def run(it):
-        last = None
-        for batch in it:
-            sig, doc, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id", "line"))
-            if not len(sig):
-                continue
-            new = np.concatenate(([last is None or sig[0] != last[0]], sig[1:] != sig[:-1]))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-            own = first < 0  # still the signature of the batch before
-            d, n = np.where(own, last[1] if last else 0, doc[first]), np.where(own, last[2] if last else 0, line[first])
-            later = (doc != d) | (line != n)
-            last = (sig[-1], d[-1], n[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), pa.array(later)], ["doc_id", "line", "later"])
-
-    return lines.repartition("sig").sortWithinPartitions("sig", "doc_id", "line").mapInArrow(run, "doc_id long, line int, later boolean")
+    return docs.mapInArrow(run, "chunk int, counts binary, doc_id long, line int, sig long")
 
 
 def _table(chunks: DataFrame, buckets: int) -> np.ndarray:
@@ -199,8 +167,8 @@ def _segments(posted: dict[str, np.ndarray], table: np.ndarray, hot: int) -> dic
 def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words: int, shards: int, hot: int, only=None) -> DataFrame:
     """Packed postings of each line's prefix: shard, and the bytes of one array for each of ``_FIELDS``.
 
-    Later copies of lines (the Bloom filter ``copies``) are left out, but for lines in ``spared``, which are first lines
-    that ``copies`` names as well. ``only``: a Bloom filter of tokens to which postings are limited.
+    Later copies of lines (the Bloom filter ``copies``) are left out, but for lines in ``spared``, which are those that
+    ``copies`` names wrongly. ``only``: a Bloom filter of tokens to which postings are limited.
     """
 
     def run(it):
@@ -253,14 +221,34 @@ def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words:
 
 
 def _passes(u: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of postings (i, j) may reach the threshold."""
+    """Which pairs of postings (i, j) may reach the threshold: each filter sees what the one before let pass."""
     n, m = u["n"][i].astype(np.int64), u["n"][j].astype(np.int64)
-    ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    ok &= (u["doc_id"][i] != u["doc_id"][j]) | (u["line"][i] != u["line"][j])  # a repeated row isn't earlier than itself
+    at = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    x, y, n, m = i[at], j[at], n[at], m[at]
     least = -(-percent * (n + m) // (100 + percent))
-    ok &= 1 + np.minimum(n - u["pos"][i], m - u["pos"][j]) - 1 >= least
-    apart = np.bitwise_count(u["x1"][i] ^ u["x1"][j]).astype(np.int64) + np.bitwise_count(u["x2"][i] ^ u["x2"][j])
-    return ok & ((n + m - apart) // 2 >= least)
+    ok = np.minimum(n - u["pos"][x], m - u["pos"][y]) >= least
+    ok &= (u["doc_id"][x] != u["doc_id"][y]) | (u["line"][x] != u["line"][y])  # a repeated row isn't earlier than itself
+    at, x, y, both, least = at[ok], x[ok], y[ok], (n + m)[ok], least[ok]
+    apart = np.bitwise_count(u["x1"][x] ^ u["x1"][y]).astype(np.int64) + np.bitwise_count(u["x2"][x] ^ u["x2"][y])
+    out = np.zeros(len(i), bool)
+    out[at[(both - apart) // 2 >= least]] = True
+    return out
+
+
+def _by_token(token: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by (token, doc_id, line) of the postings whose token others have too."""
+    t = np.argsort(token)
+    s = token[t]
+    first = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+    group = np.cumsum(first) - 1
+    several = np.bincount(group)[group] > 1
+    t, group = t[several], group[several]
+    if len(token) >= 1 << 31 or len(t) and (line[t].max() >= 1 << 20 or np.abs(doc[t]).max() >= 1 << 42):
+        return t[np.lexsort((line[t], doc[t], group))]
+    place = np.argsort((doc[t] << 20) | line[t])  # one 64-bit key sorts much faster than three
+    rank = np.empty(len(t), np.int64)
+    rank[place] = np.arange(len(t))
+    return t[np.argsort((group << 31) | rank)]
 
 
 def _candidates(percent: int, tries: int, asked=None):
@@ -269,15 +257,7 @@ def _candidates(percent: int, tries: int, asked=None):
 
     def run(key, table):
         u = {c: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in _FIELDS}
-        tokens = np.sort(u["token"])
-        tokens = tokens[1:][tokens[1:] == tokens[:-1]]
-        if len(tokens):
-            at = np.searchsorted(tokens, u["token"])
-            at[at == len(tokens)] = 0
-            several = np.flatnonzero(tokens[at] == u["token"])
-        else:
-            several = np.zeros(0, np.int64)
-        order = several[np.lexsort((u["line"][several], u["doc_id"][several], u["token"][several]))]
+        order = _by_token(u["token"], u["doc_id"], u["line"])
         u = {c: v[order] for c, v in u.items()}
         first = _starts(u["token"])
         count = np.diff(np.append(first, len(order)))
@@ -333,8 +313,8 @@ def _token_arrays(docs: DataFrame, table, wanted_docs, wanted_lines) -> DataFram
     return docs.mapInArrow(run, "doc_id long, line int, tokens array<long>")
 
 
-def _named(lines: DataFrame, copies) -> DataFrame:
-    """The lines that the Bloom filter ``copies`` names."""
+def _wrongly_named(lines: DataFrame, copies, later: DataFrame) -> DataFrame:
+    """Lines that the Bloom filter ``copies`` names though they aren't in ``later``."""
 
     def run(it):
         for batch in it:
@@ -343,7 +323,7 @@ def _named(lines: DataFrame, copies) -> DataFrame:
             if batch.num_rows:
                 yield batch
 
-    return lines.select("doc_id", "line").mapInArrow(run, "doc_id long, line int")
+    return lines.select("doc_id", "line").mapInArrow(run, "doc_id long, line int").join(later, ["doc_id", "line"], "left_anti")
 
 
 def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_tries: int = 3, buckets: int = 1 << 20, hot: int = 1 << 18, shard_postings: int = 200_000) -> DataFrame:
@@ -357,13 +337,13 @@ def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_
     counts = send(table)
     #: About so many postings a shard: prefixes are (100 - percent) percent of all words and one a line.
     shards = max(16, int(table.sum(dtype=np.int64)) * (110 - percent) // 100 // shard_postings)
-    #: Copies inside a batch are known already, so a line with any number of copies sends one of each batch to the task
-    #: that looks for its first.
-    lines = first.where("chunk is null")
-    marked = scratch.keep(_marked(lines.where("not later").select("sig", "doc_id", "line")), "marked")
-    later = lines.where("later").select("doc_id", "line").union(marked.where("later").select("doc_id", "line"))
+    lines = first.where("chunk is null").select("sig", "doc_id", "line")
+    #: The first of each signature comes from partial minima; copies are the rest, by their own keys, so that a line
+    #: with any number of copies is never one task's work.
+    firsts = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("m.doc_id", "m.line")
+    later = scratch.keep(lines.select("doc_id", "line").join(firsts, ["doc_id", "line"], "left_anti"), "later")
     copies = send(bloom(later, ["doc_id", "line"]))
-    spared = send(bloom(_named(marked.where("not later"), copies), ["doc_id", "line"], 1 << 22))
+    spared = send(bloom(_wrongly_named(lines, copies, later), ["doc_id", "line"], 1 << 22))
     schema = "doc_id long, line int, to_doc long, to_line int, more boolean"
 
     def candidates(name: str, tries: int, only=None, asked=None) -> DataFrame:
@@ -387,7 +367,7 @@ def matched_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, first_
         rest = candidates("pairs-2", 1 << 60, send(bloom_hashes(prefix, "token")), send(bloom(left, ["doc_id", "line"])))
         same = same.union(verified(rest, 2)[0])
     out = scratch.keep(later.union(same).distinct(), "gone")
-    scratch.drop("first", "marked", "pairs-1", "pairs-2", "arrays-1", "arrays-2", "same-1", "same-2", "left")
+    scratch.drop("first", "later", "pairs-1", "pairs-2", "arrays-1", "arrays-2", "same-1", "same-2", "left")
     scratch.release()
     return out
 
