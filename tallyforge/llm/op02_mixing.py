@@ -146,31 +146,55 @@ def _factor(x: np.ndarray, most: np.ndarray, wanted: float) -> float:
     return (wanted - full[k]) / open_[k]
 
 
-def rake(amounts: np.ndarray, targets: list[np.ndarray], keep: float | None = None, rounds: int = 2_000, close: float = 1e-10) -> np.ndarray:
+def _raked(base: np.ndarray, wanted: list[np.ndarray], most: np.ndarray | None, rounds: int, close: float) -> tuple[np.ndarray, float]:
+    """(table, largest miss of a margin) of scaling ``base`` to margins, no cell over ``most``; ends when it gets no closer."""
+    table, axes = base.copy(), range(base.ndim)
+    along = lambda x, k: x.sum(axis=tuple(a for a in axes if a != k))
+    cut = (lambda x: x) if most is None else (lambda x: np.minimum(x, most))
+    best, since = np.inf, 0
+    for _ in range(rounds):
+        worst = 0.0
+        for k in axes:
+            worst = max(worst, float(np.abs(wanted[k] - along(cut(table), k)).max(initial=0.0)))
+            for i, t in enumerate(wanted[k]):
+                cells = tuple(i if a == k else slice(None) for a in axes)
+                part = table[cells]
+                if most is None:
+                    table[cells] *= t / s if (s := part.sum()) > 0 else 0.0
+                else:
+                    table[cells] *= _factor(part.ravel(), most[cells].ravel(), t)
+        best, since = (worst, 0) if worst < 0.99 * best else (best, since + 1)
+        if worst < close or most is not None and since > 40:
+            break
+    return cut(table), max(float(np.abs(wanted[k] - along(cut(table), k)).max(initial=0.0)) for k in axes)
+
+
+def rake(amounts: np.ndarray, targets: list[np.ndarray], keep: float | None = None, rounds: int = 2_000, close: float = 1e-10, near: float = 1e-4) -> np.ndarray:
     """Shares of the sample by cell: a table of amounts scaled until its margins have the target shares (each sums to 1).
     With ``keep``, the share of all amounts that is sampled, no cell exceeds its amount. A category without amounts, or
     without enough, can't be raised so far: what it lacks goes to the others of its margin in proportion. Empty tables
-    stay empty. Where margins contradict each other under the limits, the last one holds and the others nearly do."""
+    stay empty. Where margins contradict each other under the limits, all targets move towards the natural shares, by
+    the smallest common step (of 1/256) at which they can hold within ``near``; at the natural shares they always can."""
     if not amounts.sum() > 0:
         return amounts.astype(float)
-    table = amounts / amounts.sum()
-    most = table / keep if keep else np.full(table.shape, np.inf)
-    axes = range(table.ndim)
+    base, axes = amounts / amounts.sum(), range(amounts.ndim)
     along = lambda x, k: x.sum(axis=tuple(a for a in axes if a != k))
+    most = base / keep if keep else None
     wanted = []
     for k in axes:
         t = np.where(along(amounts, k) > 0, targets[k], 0.0)
-        wanted.append(_feasible(t / t.sum() if t.sum() > 0 else t, along(np.where(amounts > 0, most, 0.0), k)))
-    for _ in range(rounds):
-        worst = 0.0
-        for k in axes:
-            worst = max(worst, float(np.abs(wanted[k] - along(np.minimum(table, most), k)).max(initial=0.0)))
-            for i, t in enumerate(wanted[k]):
-                cells = tuple(i if a == k else slice(None) for a in axes)
-                table[cells] *= t / s if not keep and (s := table[cells].sum()) > 0 else _factor(table[cells].ravel(), most[cells].ravel(), t) if keep else 0.0
-        if worst < close:
-            break
-    return np.minimum(table, most)
+        t = t / t.sum() if t.sum() > 0 else t
+        wanted.append(t if most is None else _feasible(t, along(most, k)))
+    table, worst = _raked(base, wanted, most, rounds, close)
+    if most is None or worst < near:
+        return table
+    moved = lambda step: [(1 - step / 256) * w + step / 256 * along(base, k) for k, w in enumerate(wanted)]
+    low, high, table = 0, 256, base
+    while high - low > 1:
+        middle = (low + high) // 2
+        tried, worst = _raked(base, moved(middle), most, 300, near / 10)
+        low, high, table = (low, middle, tried) if worst < near else (middle, high, table)
+    return table
 
 
 Target = Mapping[str, float] | float

@@ -67,3 +67,13 @@ def test_topics_are_the_planted_ones(spark):
     pure = Counter((r.lang, r.topic, r.source) for r in found)
     largest = sum(max(n for (a, b, _), n in pure.items() if (a, b) == key) for key in {(a, b) for a, b, _ in pure})
     assert largest >= 0.95 * len(found), pure
+
+
+def test_margins_that_contradict_each_other_still_fill_the_budget():
+    rng = np.random.default_rng(4)
+    amounts = rng.integers(1, 5, (6, 4, 3)).astype(float)
+    amounts[0] = 0
+    amounts[0, 0, 0] = 400  # one category's words are all in one cell
+    targets = [np.array([0.02, *[0.196] * 5]), np.array([0.9, 0.04, 0.03, 0.03]), np.full(3, 1 / 3)]
+    got = op02.rake(amounts, targets, 0.5)
+    assert abs(got.sum() - 1) < 1e-9 and (got <= amounts / amounts.sum() / 0.5 + 1e-9).all()
