@@ -163,10 +163,12 @@ def _raked(base: np.ndarray, wanted: list[np.ndarray], most: np.ndarray | None,
                     table[cells] *= t / s if (s := part.sum()) > 0 else 0.0
                 else:
                     table[cells] *= _factor(part.ravel(), most[cells].ravel(), t)
+        if most is not None:
+            table = np.clip(table, base * 1e-100, 1e100)  # margins that contradict each other drive cells ever further
         best, since = (worst, 0) if worst < 0.99 * best else (best, since + 1)
         if worst < close or most is not None and since > 40:
             break
-    return cut(table), max(float(np.abs(wanted[k] - along(cut(table), k)).max(initial=0.0)) for k in axes)
+    return cut(table), float(np.max([np.abs(wanted[k] - along(cut(table), k)).max(initial=0.0) for k in axes]))
 
 
 def rake(amounts: np.ndarray, targets: list[np.ndarray], keep: float | None = None, rounds: int = 2_000, close: float = 1e-10, near: float = 1e-4) -> np.ndarray:
