@@ -138,7 +138,7 @@ def _factor(x: np.ndarray, most: np.ndarray, wanted: float) -> float:
     order = np.argsort(at)
     at, x, most = at[order], x[order], most[order]
     full = np.concatenate(([0.0], np.cumsum(most)))
-    open_ = x.sum() - np.concatenate(([0.0], np.cumsum(x)))
+    open_ = np.concatenate((np.cumsum(x[::-1])[::-1], [0.0]))  # never 0 before the last
     reached = np.append(full[:-1] + at * open_[:-1], np.inf)
     k = int(np.searchsorted(reached, wanted))
     if k == len(x):
