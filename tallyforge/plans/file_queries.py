@@ -111,8 +111,8 @@ def _(spark, d):
 
 @query("k3_sheet_sink", "SELECT CAST(p_partkey AS VARCHAR) AS k, p_name || ' <&> \"x\"' AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def _(spark, d):
-    path = Scratch(spark, "k3").path("out.xlsx")
-    n = sheets.write_sheet(table(spark, d, "part").select(F.col("p_partkey").alias("Ключ"), F.concat("p_name", F.lit(' <&> "x"')).alias("Имя"), F.col("p_size").alias("Размер")), path)
+    path = Scratch(spark, "k3").path("out")
+    n = sheets.write_sheets(table(spark, d, "part").select(F.col("p_partkey").alias("Ключ"), F.concat("p_name", F.lit(' <&> "x"')).alias("Имя"), F.col("p_size").alias("Размер")), path)
     out = sheets.read_sheet(spark, path)
     assert out.columns == ["Ключ", "Имя", "Размер"] and n >= 0
     return out.toDF("k", "name", "size")

@@ -1,20 +1,26 @@
 """Spreadsheets (XLSX) in and out, by the format's own parts: a ZIP archive of XML.
 
-A sheet is written by one task as a stream, since a file is one archive; the format's row limit bounds it. Sheets are
-read by one task each.
+A sheet is written by one task as a stream, since a file is one archive; the format's row limit bounds it, and a table
+of any size is a folder of sheets. Sheets are read by one task each.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, groupby
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
+
+from tallyforge import storage
+from tallyforge.storage import Scratch
 
 # The parts of the format.
 SHEET_ROWS = 1_048_575
@@ -43,39 +49,47 @@ def _cell(value: object) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub("", str(value)))}</t></is></c>'
 
 
+def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _store(columns: Sequence[str], rows: Iterable[Sequence], path: str, most_rows: int) -> int:
+    """One file of a header and ``rows``; more than ``most_rows`` are an error, and no file. Gives their number."""
+    import tempfile
+
+    from pyarrow import fs
+
+    n = 0
+    with tempfile.TemporaryFile() as file:
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, part in _PARTS.items():
+                z.writestr(name, _HEAD + part)
+            with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+                write = lambda values: sheet.write(f"<row>{''.join(map(_cell, values))}</row>".encode())
+                sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+                write(columns)
+                for n, values in enumerate(rows, 1):
+                    if n > most_rows:
+                        raise ValueError(f"a sheet holds {most_rows} rows; there are more")
+                    write(values)
+                sheet.write(b"</sheetData></worksheet>")
+        store, place = fs.FileSystem.from_uri(path)
+        store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        file.seek(0)
+        with store.open_output_stream(place) as out:
+            while part := file.read(1 << 20):
+                out.write(part)
+    return n
+
+
 def write_sheet(df: DataFrame, path: str) -> int:
     """One XLSX file with a header, in the order of ``df``; more rows than a sheet holds are an error, and no file. Gives
     the number of rows. ``path`` is of a store that pyarrow opens."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
-        from pyarrow import fs
-
-        rows = 0
-        with tempfile.TemporaryFile() as file:
-            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, part in _PARTS.items():
-                    z.writestr(name, _HEAD + part)
-                with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-                    write = lambda values: sheet.write(f"<row>{''.join(map(_cell, values))}</row>".encode())
-                    sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
-                    write(columns)
-                    for batch in batches:
-                        rows += batch.num_rows
-                        if rows > SHEET_ROWS:
-                            raise ValueError(f"a sheet holds {SHEET_ROWS} rows; there are more")
-                        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                            write(values)
-                    sheet.write(b"</sheetData></worksheet>")
-            store, place = fs.FileSystem.from_uri(path)
-            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-            file.seek(0)
-            with store.open_output_stream(place) as out:
-                while part := file.read(1 << 20):
-                    out.write(part)
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([_store(columns, _values(batches), path, SHEET_ROWS)], pa.int64())], ["rows"])
 
     #: One task as one file needs; a limit over the sheet's stops larger tables early, and the task refuses them.
     written = df.limit(SHEET_ROWS + 1).coalesce(1).mapInArrow(run, "rows long").first()
@@ -84,6 +98,46 @@ def write_sheet(df: DataFrame, path: str) -> int:
     return written["rows"]
 
 
+def write_sheets(df: DataFrame, path: str, most_rows: int | None = None) -> int:
+    """A folder of XLSX files for a table of any size: ``df`` in its order, cut after every ``most_rows`` rows (a sheet's
+    limit unasked), so ``sheet-00001.xlsx`` has the first. Each has the header and is written by one task; an empty table
+    is one file. The folder appears whole, in place of an older one. Gives the number of rows."""
+    spark, columns, path = df.sparkSession, df.columns, path.rstrip("/")
+    most = SHEET_ROWS if most_rows is None else most_rows
+    if not 1 <= most <= SHEET_ROWS:
+        raise ValueError(f"a sheet holds 1 to {SHEET_ROWS} rows, not {most}")
+    scratch, part = Scratch(spark, "sheets"), f"{path}.part-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, rows in groupby(_values(batches), lambda row: row[0]):
+            n = _store(columns, (row[1:] for row in rows), f"{part}/sheet-{k + 1:05d}.xlsx", most)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["rows"])
+
+    try:
+        #: Columns by place, as a sheet's may have any names; Parquet holds none without a type.
+        plain = df.toDF(*(f"_{k}" for k in range(len(columns))))
+        plain = plain.select(*(F.col(f.name).cast("string") if isinstance(f.dataType, NullType) else F.col(f.name) for f in plain.schema))
+        #: The id is the partition, in its upper bits, and the place in it: written once, so that both reads see the same.
+        kept = scratch.keep(plain.withColumn("at", F.monotonically_increasing_id()), "rows").withColumn("p", F.shiftright("at", 33))
+        sizes = sorted(tuple(r) for r in kept.groupBy("p").count().collect())
+        ends = list(accumulate(n for _, n in sizes))
+        if not ends:
+            _store(columns, (), f"{part}/sheet-00001.xlsx", most)
+        else:
+            base = spark.createDataFrame([(p, end - n) for (p, n), end in zip(sizes, ends, strict=True)], "p long, base long")
+            numbered = kept.join(F.broadcast(base), "p").withColumn("sheet", F.expr(f"cast((base + (at & {(1 << 33) - 1})) div {most} as int)"))
+            dealt = numbered.repartitionById(-(-ends[-1] // most), F.col("sheet")).sortWithinPartitions("sheet", "at")
+            written = sum(r[0] for r in dealt.select("sheet", *plain.columns).mapInArrow(run, "rows long").collect())
+            if written != ends[-1]:
+                raise RuntimeError(f"{written} rows of {ends[-1]} are in sheets")
+        storage.delete(spark, path)
+        storage.move(spark, part, path)
+    finally:
+        storage.delete(spark, part)
+        storage.delete(spark, scratch.root)
+    return ends[-1] if ends else 0
+
+
 def _texts(archive: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in archive.namelist():
         return []
@@ -123,31 +177,37 @@ def rows_of(content) -> Iterator[list[str | None]]:
 
 
 def read_sheet(spark: SparkSession, path: str, header: Sequence[str] | None = None) -> DataFrame:
-    """The first sheet of a file, all columns as text, short rows filled with NULLs; the first row names the columns."""
+    """The first sheet of a file, or of each file of a folder, all columns as text, short rows filled with NULLs; the
+    first row names the columns, and files of other names are an error. Rows of a file keep their order."""
     import io
 
     files = spark.read.format("binaryFile").load(path).select("content")
+    named = lambda row: [x or f"_{k}" for k, x in enumerate(row)]
+
+    if header is None:
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array([next(rows_of(io.BytesIO(content.as_py())), [])], pa.list_(pa.string()))], ["r"])
+
+        names = named(files.mapInArrow(first, "r array<string>").first()["r"])
+    else:
+        names = list(header)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 part: list[list[str | None]] = []
-                for row in rows_of(io.BytesIO(content.as_py())):
+                rows = rows_of(io.BytesIO(content.as_py()))
+                if header is None and (found := named(next(rows, []))) != names:
+                    raise ValueError(f"files of one table have one header, not {names} and {found}")
+                for row in rows:
                     part.append(row)
                     if len(part) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], ["r"])
                         part = []
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], ["r"])
 
-    if header is None:
-
-        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for content in batch.column(0):
-                    yield pa.RecordBatch.from_arrays([pa.array([next(rows_of(io.BytesIO(content.as_py())), [])], pa.list_(pa.string()))], ["r"])
-
-        names = [x or f"_{k}" for k, x in enumerate(files.mapInArrow(first, "r array<string>").first()["r"])]
-    rows = files.mapInArrow(run, "r array<string>").withColumn("_n", F.monotonically_increasing_id())
-    if header is None:
-        rows = rows.where("_n > 0")
-    return rows.select(*(F.get("r", F.lit(k)).alias(n) for k, n in enumerate(header or names)))
+    rows = files.mapInArrow(run, "r array<string>")
+    return rows.select(*(F.get("r", F.lit(k)).alias(n) for k, n in enumerate(names)))

@@ -8,6 +8,7 @@ from threading import Event
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyforge.operators import identity, research, rules, state
 from tallyforge.sources import files, sheets
 from tallyforge.sources.paged import read_paged
@@ -50,6 +51,43 @@ def test_sheets(spark, tmp_path, monkeypatch):
     assert table.columns == ["name", "_1", "xy"] and [tuple(r) for r in table.collect()] == [(None, None, "5")]
 
 
+def test_tables_of_more_rows_than_a_sheet(spark, tmp_path):
+    path = f"file://{tmp_path}/many"
+    df = spark.range(0, 23, 1, 4).selectExpr("id AS `a;b`", "if(id % 2 = 0, concat('<', id), null) AS b", "null AS b").where("id not between 6 and 11")
+    for most, sizes in ((5, [5, 5, 5, 2]), (17, [17]), (16, [16, 1]), (1, [1] * 17), (None, [17])):
+        assert sheets.write_sheets(df, path, most) == 17
+        names = sorted(x.name for x in (tmp_path / "many").iterdir())
+        assert names == [f"sheet-{k + 1:05d}.xlsx" for k in range(len(sizes))]
+        got = [list(sheets.rows_of(str(tmp_path / "many" / x))) for x in names]
+        assert [len(x) - 1 for x in got] == sizes and all(x[0] == ["a;b", "b", "b"] for x in got)
+        assert [r for x in got for r in x[1:]] == [[str(i), None if i % 2 else f"<{i}", None] for i in range(23) if not 6 <= i <= 11]
+    assert sheets.write_sheets(df, path, 5) == 17
+    assert sorted(int(r[0]) for r in sheets.read_sheet(spark, path).toDF("a", "b", "c").collect()) == [i for i in range(23) if not 6 <= i <= 11]
+    assert sheets.write_sheets(df.where("false"), path) == 0
+    empty = sheets.read_sheet(spark, path)
+    assert empty.columns == ["a;b", "b", "b"] and empty.count() == 0
+    for most in (0, sheets.SHEET_ROWS + 1):
+        with pytest.raises(ValueError, match="a sheet holds"):
+            sheets.write_sheets(df, path, most)
+    assert [x.name for x in tmp_path.iterdir()] == ["many"]
+    sheets.write_sheet(spark.sql("SELECT 1 AS other"), f"{path}/sheet-00002.xlsx")
+    with pytest.raises(Exception, match="one header"):
+        sheets.read_sheet(spark, path).collect()
+
+
+def test_sheet_query_on_more_rows_than_a_sheet(spark, tmp_path, monkeypatch):
+    """The limit is lowered here, as the smallest tables hold fewer rows than a sheet."""
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(sheets, "SHEET_ROWS", 90)
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    assert part.count() > 2 * 90
+    got = entry.queries()["k3_sheet_sink"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted((str(r.p_partkey), f'{r.p_name} <&> "x"', str(r.p_size)) for r in part.collect())
+    with pytest.raises(Exception, match="a sheet holds 90 rows"):
+        sheets.write_sheet(part, f"file://{tmp_path}/one.xlsx")
+    assert not list(tmp_path.iterdir())
+
+
 def test_strict_files_and_splits(spark, tmp_path):
     (tmp_path / "long.csv").write_text("a;b\n1;2\n1;2;3\n")
     with pytest.raises(Exception, match="over 2 fields"):
