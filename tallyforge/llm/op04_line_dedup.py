@@ -30,23 +30,30 @@ from tallyforge.llm.shared import CHUNK, Scratch, bloom, bloom_hashes, fresh, in
 U64 = np.uint64
 
 
-def _lines(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line key, text, line number) of each word: keys rise from line to line and from text to text."""
-    ends = np.flatnonzero(w.data == 10)
-    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    before = np.searchsorted(ends, w.start)
-    return before + text, text, before
+def _ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first byte, end, text, line number) of every line, in order; each text has one line more than newlines."""
+    ends = np.flatnonzero(data == 10)
+    begin, end = np.concatenate((offsets[:-1], ends + 1)), np.concatenate((ends, offsets[1:]))
+    begin.sort()
+    end.sort()
+    n = np.diff(np.searchsorted(ends, offsets)) + 1
+    text = np.repeat(np.arange(len(n)), n)
+    return begin, end, text, np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _starts(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+def _lines(w: tk.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, text, line number) of each line that has words."""
+    begin, _, text, number = _ranges(w.data, offsets)
+    at = np.searchsorted(w.start, begin)
+    some = np.flatnonzero(np.diff(np.append(at, len(w.start))))
+    return at[some], text[some], number[some]
 
 
-def _line_numbers(w: tk.Words, offsets: np.ndarray, text: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return before - np.searchsorted(np.flatnonzero(w.data == 10), offsets[:-1])[text]
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
-def _distinct_counts(key: np.ndarray, h: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
+def _distinct_counts(h: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
     """Which lines have at least ``min_words`` distinct words. Lines of many words are sure to unless they repeat a few;
     only the others, and those whose words' hashes mod 64 are few, are counted in full."""
     seen = np.bitwise_count(np.bitwise_or.reduceat(U64(1) << (h & U64(63)), at))
@@ -69,15 +76,13 @@ def _first_pass(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
                 if not len(w.hash):
                     continue
                 np.add.at(table, (w.hash & U64(buckets - 1)).astype(np.int64), np.uint32(1))
-                key, text, before = _lines(w)
-                at = _starts(key)
+                at, text, number = _lines(w, offsets)
                 sig = np.add.reduceat(w.hash, at) ^ tk.mix(np.bitwise_xor.reduceat(w.hash * U64(0xD6E8FEB86659FD93), at))
-                enough = _distinct_counts(key, w.hash, at, min_words)
-                at, sig = at[enough], sig[enough]
-                number = _line_numbers(w, offsets, text[at], before[at])
-                k = len(at)
+                enough = _distinct_counts(w.hash, at, min_words)
+                sig, text, number = sig[enough], text[enough], number[enough]
+                k = len(sig)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids[i:j][text[at]]), pa.array(number, pa.int32()), pa.array(sig.view(np.int64))],
+                    [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(ids[i:j][text]), pa.array(number, pa.int32()), pa.array(sig.view(np.int64))],
                     ["chunk", "counts", "doc_id", "line", "sig"],
                 )
         parts = table.reshape(-1, CHUNK)
@@ -120,25 +125,26 @@ def _token_order(key: np.ndarray, rare: np.ndarray, h: np.ndarray) -> np.ndarray
     return np.lexsort((h, rare, key))
 
 
-def _token_sets(w: tk.Words, table: np.ndarray, want=None) -> tuple[np.ndarray, ...]:
-    """Distinct tokens by line, rarest first: (hash, line start positions, sizes, text, newlines before), of all lines
-    that have words or of those for which ``want(hashes, line starts, text, newlines before)`` is true."""
-    key, text, before = _lines(w)
-    h, first = w.hash, _starts(key)
-    if want is not None:
-        keep = want(h, first, text[first], before[first])
-        if not keep.any():
-            return h[:0], first[:0], first[:0], text[:0], before[:0]
-        words_ = np.repeat(keep, np.diff(np.append(first, len(h))))
-        h, key, text, before = h[words_], key[words_], text[words_], before[words_]
-        first = _starts(key)
-    order = _token_order(key, table[(h & U64(len(table) - 1)).astype(np.int64)], h)
-    h, k = h[order], key[order]
+def _token_sets(h: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens by line, rarest first, of lines whose words begin at ``first``: (hash, line start positions,
+    sizes)."""
+    if not len(h):
+        return h, first, first
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    h = h[_token_order(key, table[(h & U64(len(table) - 1)).astype(np.int64)], h)]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-    h, k = h[new], k[new]
-    at = _starts(k)
-    return h, at, np.diff(np.append(at, len(h))), text[first], before[first]
+    new[1:] = h[1:] != h[:-1]
+    new[first] = True
+    n = np.add.reduceat(new, first, dtype=np.int64)
+    return h[new], np.cumsum(n) - n, n
+
+
+def _some_lines(h: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, and where lines begin in them, of the lines ``keep``."""
+    n = np.diff(np.append(at, len(h)))
+    if not keep.all():
+        h, n = h[np.repeat(keep, n)], n[keep]
+    return h, np.cumsum(n) - n
 
 
 _FIELDS = (("token", np.uint64), ("doc_id", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("x1", np.uint64), ("x2", np.uint64))
@@ -147,10 +153,10 @@ _FIELDS = (("token", np.uint64), ("doc_id", np.int64), ("line", np.int32), ("n",
 def _segments(posted: dict[str, np.ndarray], table: np.ndarray, hot: int) -> dict[str, np.ndarray]:
     """Postings of tokens that occur over ``hot`` times once for each pair of segments that their line is in."""
     count = table[(posted["token"] & U64(len(table) - 1)).astype(np.int64)]
+    if not (count > hot).any():
+        return posted
     parts = -(-count.astype(np.int64) // hot)
     split = np.flatnonzero(parts > 1)
-    if not len(split):
-        return posted
     k = parts[split]
     mine = (mix_keys(posted["doc_id"][split], posted["line"][split]) % k.astype(U64)).astype(np.int64)
     row = np.repeat(np.arange(len(split)), k)
@@ -181,37 +187,40 @@ def _postings(docs: DataFrame, counts, copies, spared, percent: int, min_words:
                 if not len(w.hash):
                     continue
 
-                def want(h, at, text, before, ids=ids[i:j], w=w, offsets=offsets):
-                    doc, number = ids[text], _line_numbers(w, offsets, text, before)
-                    keys = mix_keys(doc, number)
-                    keep = ~in_bloom(copies.value, keys) | in_bloom(spared.value, keys)
-                    return keep if only is None else keep & np.logical_or.reduceat(in_bloom(only.value, h), at)
-
-                h, at, n, text, before = _token_sets(w, table, want)
+                at, text, number = _lines(w, offsets)
+                keys = mix_keys(ids[i:j][text], number)
+                keep = ~in_bloom(copies.value, keys) | in_bloom(spared.value, keys)
+                if only is not None:
+                    keep &= np.logical_or.reduceat(in_bloom(only.value, w.hash), at)
+                doc, number = ids[i:j][text[keep]], number[keep]
+                h, at, n = _token_sets(*_some_lines(w.hash, at, keep), table)
                 if not len(h):
                     continue
                 bit = U64(1) << (h & U64(63))
-                high = (h >> U64(6)) & U64(1) == 1
-                x1 = np.bitwise_xor.reduceat(np.where(high, bit, U64(0)), at)
-                x2 = np.bitwise_xor.reduceat(np.where(high, U64(0), bit), at)
+                x2 = np.bitwise_xor.reduceat(bit, at)
+                bit *= (h >> U64(6)) & U64(1)
+                x1 = np.bitwise_xor.reduceat(bit, at)
+                x2 ^= x1
                 size = np.where(n >= min_words, n - -(-percent * n // 100) + 1, 0)
-                pos = np.arange(len(h)) - np.repeat(at, n)
+                of = np.repeat(np.arange(len(at)), size)
+                pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                token = h[at[of] + pos]
                 #: A token that occurs once in all texts, by the count table, meets no other line.
-                take = np.flatnonzero((pos < np.repeat(size, n)) & (table[(h & U64(len(table) - 1)).astype(np.int64)] > 1))
+                take = table[(token & U64(len(table) - 1)).astype(np.int64)] > 1
                 if only is not None:
-                    take = take[in_bloom(only.value, h[take])]
-                of = np.repeat(np.arange(len(at)), n)[take]
-                number = _line_numbers(w, offsets, text, before)
-                found.append({"token": h[take], "doc_id": ids[i:j][text][of], "line": number[of], "n": n[of], "pos": pos[take], "x1": x1[of], "x2": x2[of]})
+                    take &= in_bloom(only.value, token)
+                of = of[take]
+                found.append({"token": token[take], "doc_id": doc[of], "line": number[of], "n": n[of], "pos": pos[take], "x1": x1[of], "x2": x2[of]})
             if not found:
                 continue
             posted = {c: np.concatenate([f[c] for f in found]).astype(t, copy=False) for c, t in _FIELDS}
             posted = _segments(posted, table, hot)
             shard = (tk.mix(posted["token"]) % U64(shards)).astype(np.int64)
             order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # 16 bits: radix sort
-            at = _starts(shard[order])
+            shard = shard[order]
+            at = _starts(shard)
             ends = np.append(at, len(order)).tolist()
-            columns = [pa.array(shard[order][at])]
+            columns = [pa.array(shard[at])]
             for c, _ in _FIELDS:
                 values = posted[c][order]
                 columns.append(pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
@@ -297,18 +306,17 @@ def _token_arrays(docs: DataFrame, table, wanted_docs, wanted_lines) -> DataFram
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in tk.batches(batch, "text"):
-                w = tk.words(data, offsets)
-                if not len(w.hash):
-                    continue
-
-                def want(h, at, text, before, ids=ids[i:j], w=w, offsets=offsets):
-                    return in_bloom(wanted_lines.value, mix_keys(ids[text], _line_numbers(w, offsets, text, before)))
-
-                h, at, n, text, before = _token_sets(w, table.value, want)
+                begin, end, text, number = _ranges(data, offsets)
+                wanted = np.flatnonzero(in_bloom(wanted_lines.value, mix_keys(ids[i:j][text], number)))
+                begin, end, doc, number = begin[wanted], end[wanted], ids[i:j][text[wanted]], number[wanted]
+                #: Only the wanted lines are cut into words, each as a text.
+                data = np.concatenate([data[:0], *(data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))])
+                w = tk.words(data, np.concatenate(([0], np.cumsum(end - begin))))
+                some = np.diff(w.first) > 0
+                h, at, _ = _token_sets(w.hash, w.first[:-1][some], table.value)
                 if len(h):
-                    ends = np.append(at, len(h)).astype(np.int32)
-                    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text]), pa.array(_line_numbers(w, offsets, text, before), pa.int32()), tokens], ["doc_id", "line", "tokens"])
+                    tokens = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(number[some], pa.int32()), tokens], ["doc_id", "line", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, line int, tokens array<long>")
 

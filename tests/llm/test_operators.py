@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import op01_ngram_join as op01
@@ -18,7 +20,7 @@ from tallyforge.llm import op07_pii as op07
 from tallyforge.llm import op08_html as op08
 from tallyforge.llm import op09_warc as op09
 from tallyforge.llm import op10_decontaminate as op10
-from tallyforge.llm.shared import Scratch, components
+from tallyforge.llm.shared import Scratch, components, mix_keys, probes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, _gone string, probability double"
 
@@ -203,6 +205,42 @@ def test_line_dedup_on_odd_rows(spark, odd):
     assert op04.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_verification_cuts_only_wanted_lines_into_words(monkeypatch):
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    def sent(*keys):
+        table = np.zeros(1 << 12, np.uint8)
+        for probe in np.concatenate(probes(mix_keys(*(np.array(k) for k in keys)), 1 << 15)).tolist():
+            table[probe >> 3] |= 1 << (probe & 7)
+        return SimpleNamespace(value=table)
+
+    texts = ["", "x y z\n\nsome Words some", None, "\n last line \n", "x y z", "\n"]
+    cut, plain = [], op04.tk.words
+    monkeypatch.setattr(op04.tk, "words", lambda data, offsets: cut.append(len(data)) or plain(data, offsets))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    wanted = [(1, 2), (3, 1), (5, 1)]
+    run = op04._token_arrays(Rows(), SimpleNamespace(value=np.zeros(1 << 10, np.uint32)), sent([1, 3, 5]), sent(*zip(*wanted, strict=True))).run
+    got = {(r["doc_id"], r["line"]): set(r["tokens"]) for out in run(iter([batch])) for r in out.to_pylist()}
+    one = {w: int(plain(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash.view(np.int64)[0]) for w in ("some", "words", "last", "line")}
+    assert got == {(1, 2): {one["some"], one["words"]}, (3, 1): {one["last"], one["line"]}}
+    assert sum(cut) == len("some Words some") + len(" last line ")
+
+
+def test_lines_with_words_are_numbered_as_split_does():
+    rng = random.Random(5)
+    for _ in range(200):
+        texts = ["".join(rng.choice("ab \n\té") for _ in range(rng.choice((0, 0, 1, 3, 12)))) for _ in range(rng.randrange(6))]
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        w = op04.tk.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        at, text, number = op04._lines(w, offsets)
+        want = [(t, k, len(line.split())) for t, x in enumerate(texts) for k, line in enumerate(x.split("\n")) if line.split()]
+        assert list(zip(text.tolist(), number.tolist(), np.diff(np.append(at, len(w.start))).tolist(), strict=True)) == want
+
+
 # 5
 
 
